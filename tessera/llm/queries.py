@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embeddings, language, packing, piece_bpe, token_store, warc
+from tessera.llm import brown, embeddings, jaccard, language, packing, piece_bpe, secrets, spotsigs, token_store, warc
 from tessera.tables import load
 
 
@@ -35,6 +35,22 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0)
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(load(spark, sf_dir, "documents"), 7, 2)
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(load(spark, sf_dir, "documents"), 80, 5)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(load(spark, sf_dir, "documents")))
+
+
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     fold = language.remainder("doc_id", 4)
@@ -43,5 +59,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_warc, op3_packing, op4_sentencepiece, op5_token_files, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_warc, op3_packing, op4_sentencepiece, op5_token_files, op6_brown_lm, op7_jaccard_join, op8_secrets, op9_spotsigs, op10_language)}
 ORACLES: dict[str, str] = {}

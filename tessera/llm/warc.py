@@ -52,8 +52,10 @@ def record(page_id: int | None, url: str | None, captured: int | None, payload:
     revisit = refers_to is not None
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
-    head += [f"WARC-Target-URI: {one_line(url)}"] * (url is not None)
-    head += [f"WARC-Date: {datetime.fromtimestamp(captured, UTC):%Y-%m-%dT%H:%M:%SZ}"] * (captured is not None)
+    if url is not None:
+        head.append(f"WARC-Target-URI: {one_line(url)}")
+    if captured is not None:
+        head.append(f"WARC-Date: {datetime.fromtimestamp(captured, UTC):%Y-%m-%dT%H:%M:%SZ}")
     head += [f"WARC-Payload-Digest: sha256:{digest}"]
     head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"] * revisit
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
