@@ -25,19 +25,25 @@ def is_anchor(word: Column) -> Column:
     return word.isin(ANCHORS)
 
 
-def spots(own: Column, content: Column) -> Column:
+def spots(own: Column, flags: Column, content: Column) -> Column:
     """A signature for each anchor among the words `own`: the anchor and the two
     next words that are no anchors, which are those of `content`."""
-    at = F.filter(F.transform(own, lambda w, i: F.when(is_anchor(w), i).otherwise(-1)), lambda i: i >= 0)
+    at = F.filter(F.transform(flags, lambda f, i: F.when(f, i).otherwise(-1)), lambda i: i >= 0)
     # j anchors stand before the one at i, so i - j other words do.
     found = F.transform(at, lambda i, j: F.when(F.get(content, i - j + 1).isNotNull(), F.xxhash64(F.get(own, i), F.get(content, i - j), F.get(content, i - j + 1))))
     return F.filter(found, lambda x: x.isNotNull())
 
 
-def chains(own: Column) -> Column:
-    """A signature for each chain of three words."""
-    found = F.transform(own, lambda w, i: F.when(F.get(own, i + 2).isNotNull(), F.xxhash64(w, F.get(own, i + 1), F.get(own, i + 2))))
-    return F.filter(found, lambda x: x.isNotNull())
+def chains(own: Column, flags: Column) -> Column:
+    """A signature for each word far from anchors, before which none stands within
+    three words: the word and the two next. So lists and tables of rare words,
+    where no spot starts, are described too, whatever the rest of a text is like."""
+
+    def chain(word: Column, i: Column) -> Column:
+        near = F.get(flags, i) | F.coalesce(F.get(flags, i - 1), F.lit(False)) | F.coalesce(F.get(flags, i - 2), F.lit(False)) | F.coalesce(F.get(flags, i - 3), F.lit(False))
+        return F.when(~near & F.get(own, i + 2).isNotNull(), F.xxhash64(word, F.get(own, i + 1), F.get(own, i + 2)))
+
+    return F.filter(F.transform(own, chain), lambda x: x.isNotNull())
 
 
 def numbered(ordered: Column) -> Column:
@@ -57,23 +63,23 @@ def trigrams(text: Column) -> Column:
 
 def with_signatures(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """`rows` with the texts in `columns` replaced by their sorted 32-bit
-    signatures, a multiset: of their spots; in texts with fewer than FEW spots also of all
-    chains of three words; with fewer than FEW words, of each word; and with
-    fewer than three words, of each run of three characters.
+    signatures, a multiset: of their spots and of chains far from anchors; with
+    fewer than FEW words also of each word; and with fewer than three words, of
+    each run of three characters.
 
     What a lambda reads again and again is a column of its own first: Spark
     evaluates an expression inside a lambda for every element.
     """
     name = lambda c, part: F.col(f"{c}__{part}")
     rows = rows.withColumns({f"{c}__words": words(F.col(c)) for c in columns})
+    rows = rows.withColumns({f"{c}__flags": F.transform(name(c, "words"), is_anchor) for c in columns})
     rows = rows.withColumns({f"{c}__content": F.filter(name(c, "words"), lambda w: ~is_anchor(w)) for c in columns})
-    rows = rows.withColumns({f"{c}__spots": spots(name(c, "words"), name(c, "content")) for c in columns})
+    rows = rows.withColumns({f"{c}__spots": F.concat(spots(name(c, "words"), name(c, "flags"), name(c, "content")), chains(name(c, "words"), name(c, "flags"))) for c in columns})
     none = F.array().cast("array<bigint>")
     few = lambda a, n, more: F.when(F.size(a) < n, more).otherwise(none)
     found = {
         c: F.concat(
             name(c, "spots"),
-            few(name(c, "spots"), FEW, chains(name(c, "words"))),
             few(name(c, "words"), FEW, F.transform(name(c, "words"), lambda w: F.xxhash64(w))),
             few(name(c, "words"), 3, F.when(F.col(c) != "", trigrams(F.col(c))).otherwise(none)),
         )
@@ -81,7 +87,7 @@ def with_signatures(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     }
     rows = rows.withColumns({f"{c}__sorted": F.array_sort(found[c]) for c in columns})
     rows = rows.withColumns({c: F.array_sort(F.array_distinct(numbered(name(c, "sorted")))) for c in columns})
-    return rows.drop(*(f"{c}__{part}" for c in columns for part in ("words", "content", "spots", "sorted")))
+    return rows.drop(*(f"{c}__{part}" for c in columns for part in ("words", "flags", "content", "spots", "sorted")))
 
 
 def length_class(signature_set: Column) -> Column:
