@@ -113,8 +113,8 @@ def likeness(a: Column, b: Column, least: float = 0.05) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = 500) -> DataFrame:
-    """(doc_id, text, next_text): the text of the next document in ascending id
-    order, the first's after the last. Rows without an id come first; rows that
+    """(doc_id, text, own, next_text, next_own): text and signatures of each document
+    and of the next in ascending id order, the first's after the last. Rows without an id come first; rows that
     share one are ordered by their text.
 
     The ids are cut into ranges at percentiles, which are ids of the table; each
@@ -134,16 +134,18 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int =
     group = F.size(F.filter(coarse, lambda c: c <= F.col("k")))
     within = F.slice(fine, F.greatest(group - 1, F.lit(0)) * step + 1, step)
     bucket = F.when(group == 0, 0).otherwise((group - 1) * step + F.size(F.filter(within, lambda c: c <= F.col("k"))))
-    placed = rows.withColumn("bucket", bucket.cast("int")).withColumn("cut", F.array_contains(within, F.col("k")))
+    signed = with_signatures(rows.withColumn("own", F.col("text")), ("own",))
+    placed = signed.withColumn("bucket", bucket.cast("int")).withColumn("cut", F.array_contains(within, F.col("k")))
     none = F.lit(None).cast("struct<bucket:int,guest:int>")
     homes = F.array(
         F.struct(F.col("bucket"), F.lit(0).alias("guest")),
         F.when(F.col("cut") & (F.col("bucket") > 0), F.struct((F.col("bucket") - 1).alias("bucket"), F.lit(1).alias("guest"))).otherwise(none),
         F.when(F.col("k") == F.lit(first), F.struct(F.lit(len(cuts)).alias("bucket"), F.lit(2).alias("guest"))).otherwise(none),
     )
-    dealt = placed.select("doc_id", "k", "text", F.explode(F.filter(homes, lambda h: h.isNotNull())).alias("home")).select("doc_id", "k", "text", "home.*")
+    dealt = placed.select("doc_id", "k", "text", "own", F.explode(F.filter(homes, lambda h: h.isNotNull())).alias("home")).select("doc_id", "k", "text", "own", "home.*")
     window = Window.partitionBy("bucket").orderBy("guest", "k", "text")
-    return dealt.withColumn("next_text", F.lead("text").over(window)).where("guest = 0").select("doc_id", "text", "next_text")
+    beside = dealt.withColumns({f"next_{c}": F.lead(c).over(window) for c in ("text", "own")})
+    return beside.where("guest = 0").select("doc_id", "text", "own", "next_text", "next_own")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,9 +164,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
-    texts = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text")
-    sets = with_signatures(texts.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), ("text", "edited", "next_text"))
+    texts = rows.select("doc_id", n.cast("long").alias("n_chars"), "own", "next_own", edited.alias("edited"))
+    sets = with_signatures(texts.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), ("edited",))
     return sets.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("text"), F.col("edited")).alias("near_edited"), likeness(F.col("text"), F.col("next_text")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
