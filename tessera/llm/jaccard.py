@@ -176,20 +176,27 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.
         yield held
 
 
-def shared_lists(prefix: DataFrame) -> DataFrame:
-    """The rows of `prefix` whose token another set has too, one for each set."""
+def shared_lists(prefix: DataFrame, percent: int) -> DataFrame:
+    """The rows of `prefix`, one for each set and token, that some other set of the
+    token's list could link with: an entry whose rest, from its position on, can't
+    reach the overlap needed with even the list's smallest set is passed over."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, set_id, n, pos in _lists(batches, 4):
+        for token, n, set_id, pos in _lists(batches, 4):
             fresh = np.r_[True, (token[1:] != token[:-1]) | (set_id[1:] != set_id[:-1])]
-            token, set_id, n, pos = token[fresh], set_id[fresh], n[fresh], pos[fresh]
+            token, n, set_id, pos = token[fresh], n[fresh], set_id[fresh], pos[fresh]
+            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            smallest = np.repeat(n[start], np.diff(np.r_[start, len(token)])).astype("i8")
+            # percent * (n + m) <= (100 + percent) * (n - pos) for a partner of size m
+            ok = percent * (n + smallest) <= (100 + percent) * (n.astype("i8") - pos)
+            token, n, set_id, pos = token[ok], n[ok], set_id[ok], pos[ok]
             same = token[1:] == token[:-1]
-            many = np.r_[False, same] | np.r_[same, False]
+            many = np.r_[False, same] | np.r_[same, False] if len(token) else ok[:0]
             if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, set_id, n, pos)], names=["token", "set_id", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, n, set_id, pos)], names=["token", "n", "set_id", "pos"])
 
-    dealt = prefix.repartition("token").sortWithinPartitions("token", "set_id")
-    return dealt.mapInArrow(keep, "token long, set_id long, n int, pos int")
+    dealt = prefix.select("token", "n", "set_id", "pos").repartition("token").sortWithinPartitions("token", "n", "set_id")
+    return dealt.mapInArrow(keep, "token long, n int, set_id long, pos int")
 
 
 def _reach(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -253,6 +260,32 @@ def candidates(lists: DataFrame, component: DataFrame | None, percent: int, seed
     return dealt.mapInArrow(pair, "a long, b long").where("a <> b").distinct()
 
 
+def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(set_id, shingles) of the documents `wanted` (doc_id), and perhaps of a few
+    more. A bitmap of hashed ids, of 32 MB at most, is broadcast, so the texts are
+    filtered where they are read instead of being shuffled to the ids."""
+    n = wanted.count()
+    bits = 1 << min(28, max(18, (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    marked = wanted.select(place("doc_id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+    bitmap = np.zeros(bits // 8, "u1")
+    for bucket, blob in marked.collect():
+        bitmap[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(blob, "u1")
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
+        for batch in batches:
+            p = batch.column(0).to_numpy(zero_copy_only=False) - 1
+            hit = batch.filter(pa.array((held[p >> 3] >> (p & 7).astype("u1")) & 1 == 1))
+            for part in _slices(hit):
+                found = shingle_sets(part.column(1), width)
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x)[0] for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["set_id", "shingles"])
+
+    known = rows.where("doc_id is not null").select(place("doc_id").alias("p"), "text")
+    return known.mapInArrow(build, "set_id long, shingles binary")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb, overlap, linked) of candidate pairs, from the whole sets."""
 
@@ -309,39 +342,34 @@ def components(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str =
 
     A null text or one without words has no shingles, links with nothing and is
     its own component. Repeated rows come out each. Rows without an id get the
-    component of their class's smallest id, null if it has none.
+    component of their class's smallest id; a class without any id links with
+    nothing, and has none.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed, counts = signatures(rows, width)
-    classes = store(signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("any")), "classes")
-    lists = store(shared_lists(prefixes(rows, width, percent, counts)), "lists")
-    wanted = lists.select(F.col("set_id").alias("h1")).distinct()
-    # One document of each class that shares a list, and its set.
-    sources = classes.join(wanted, "h1", "left_semi").where("first is not null").select(F.col("first").alias("doc_id"), "h1")
+    classes = store(signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first")), "classes")
+    lists = store(shared_lists(prefixes(rows, width, percent, counts), percent), "lists")
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch):
-                found = shingle_sets(part.column(0), width)
-                yield pa.RecordBatch.from_arrays([pa.array([digest(x)[0] for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["set_id", "shingles"])
+    def checked(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+        # One document of each class in a pair.
+        wanted = classes.where("first is not null").join(ids, "h1", "left_semi").select(F.col("first").alias("doc_id"))
+        # Repeated rows of a document give its set again.
+        sets = store(sets_of(rows, wanted, width), "sets").dropDuplicates(["set_id"])
+        return store(verify(pairs, sets, percent), "verified")
 
-    texts = rows.join(sources.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    sets = store(texts.mapInArrow(sets_of, "set_id long, shingles binary").dropDuplicates(["set_id"]), "sets")
     known = found = None
     for round_ in range(LEADER_ROUNDS + 1):
         pairs = store(candidates(lists, found, percent, round_ if round_ < LEADER_ROUNDS else None), "pairs")
         if not pairs.take(1):
-            if round_ < LEADER_ROUNDS:
-                continue
-            break
+            continue
         if known is None:
-            known = store(verify(pairs, sets, percent), "verified")
+            known = checked(pairs)
         else:
             decided = store(derive(pairs, known, percent), "derived")
-            checked = store(verify(decided.where("settled is null").select("a", "b"), sets, percent), "verified")
-            taken = decided.where("settled").select("a", "b", F.lit(None).cast("long").alias("na"), F.lit(None).cast("long").alias("nb"), F.lit(None).cast("long").alias("overlap"), F.lit(True).alias("linked"))
-            known = known.unionByName(checked).unionByName(taken)
+            taken = decided.where("settled").select("a", "b", *(F.lit(None).cast("long").alias(c) for c in ("na", "nb", "overlap")), F.lit(True).alias("linked"))
+            known = known.unionByName(checked(decided.where("settled is null").select("a", "b"))).unionByName(taken)
         found = store(connected_components(known.where("linked").select("a", "b")), "components")
     if found is None:
         found = spark.createDataFrame([], "id long, component long")
