@@ -24,7 +24,7 @@ from tessera.llm.shared import partitions_of
 #: Latin, white space that isn't a single space or line feed between words, and
 #: anything that might be an added token.
 WHOLE = re.compile(r"[^\n -~¡-¬®-ɏ]|\s\s|^\s|\s$|<\|")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
 
 
 class _Words(dict):
@@ -32,8 +32,12 @@ class _Words(dict):
 
     def __init__(self, tokenizer, before: str):
         self.tokenizer, self.before = tokenizer, before
+        self.marks = {x: np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ",.;:!?"}
 
     def __missing__(self, word: str) -> bytes:
+        if word[-1:] in self.marks and word[-2:-1].isalpha():
+            # A mark behind a letter is a pre-token of its own.
+            return self[word[:-1]] + self.marks[word[-1]]
         ids = self.tokenizer.encode(self.before + word, add_special_tokens=False).ids
         found = np.array(ids, "<u4").tobytes()
         if len(self) < CACHE_ENTRIES and len(word) < 64:
