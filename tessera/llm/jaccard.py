@@ -211,7 +211,7 @@ def candidates(lists: DataFrame, component: DataFrame | None, percent: int, seed
     """Distinct pairs (a, b) of sets in different components that share a list.
 
     With a seed: of each list's blocks by size, every set with the block's
-    leader, one the seed picks. Without: all pairs that sizes and positions leave.
+    leader, the set of the earliest position for seed 0, a drawn one for others. Without: all pairs that sizes and positions leave.
     """
     rows = lists
     if component is not None:
@@ -235,8 +235,10 @@ def candidates(lists: DataFrame, component: DataFrame | None, percent: int, seed
                 span = np.floor(np.log(n) / np.log(100 / percent)).astype("i8") if percent < 100 else n.astype("i8")
                 block = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (span[1:] != span[:-1])])
                 number = np.repeat(np.arange(len(block)), np.diff(np.r_[block, len(n)]))
+                # A set that few rare tokens of its own stand before is in the middle of
+                # its near copies: it leads first. Later rounds draw.
                 luck = mix(set_id.view("u8") + np.array([seed], "u8") * _BASE)
-                lead = np.lexsort((luck, number))[block][number]
+                lead = np.lexsort((luck, pos if seed == 0 else luck, number))[block][number]
                 a, b = lead, np.arange(len(n))
                 ok = (comp[a] != comp[b]) & _reach(n, pos, a, b, percent)
                 yield from pairs_of(set_id, a[ok], b[ok])
