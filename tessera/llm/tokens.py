@@ -10,6 +10,7 @@ library once per worker; any other text goes through the library whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,26 +21,47 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import partitions_of
 
-#: What the word-wise path leaves to the library: characters beyond printable
-#: Latin, white space that isn't a single space or line feed between words, and
-#: anything that might be an added token.
-WHOLE = re.compile(r"[^\n -~¡-¬®-ɏ]|\s\s|^\s|\s$|<\|")
-CACHE_ENTRIES = 1_000_000
+#: Words of anything else leave their text to the library whole: characters beyond
+#: printable Latin, white space, and what might start an added token.
+PLAIN = re.compile(r"(?:(?!<\|)[!-~¡-¬®-ɏ])+")
+CACHE_ENTRIES = 600_000
+MARKS = ",.;:!?"
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
+
+
+class _Whole(Exception):
+    """The text can't be taken by words."""
 
 
 class _Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes; full at CACHE_ENTRIES."""
+    """word -> its ids as little-endian unsigned 32-bit bytes; full at CACHE_ENTRIES.
+
+    A word with a line feed before it stands at the start of a line, without a space."""
+
+    def __init__(self, tokenizer, before: str, line: bytes = b"", first: _Words | None = None):
+        self.tokenizer, self.before, self.line, self.first = tokenizer, before, line, first
+        self.model = tokenizer.model
+        self.marks = {x: self._library(x) for x in MARKS}
 
-    def __init__(self, tokenizer, before: str):
-        self.tokenizer, self.before = tokenizer, before
-        self.marks = {x: np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ",.;:!?"}
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in self.marks and word[-2:-1].isalpha():
-            # A mark behind a letter is a pre-token of its own.
+        if word[:1] == "\n" and self.first is not None:
+            found = self.line + self.first[word[1:]]
+        elif not PLAIN.fullmatch(word):
+            raise _Whole
+        elif word[-1] in MARKS and word[:-1].isalpha():
+            # A mark behind letters is a pre-token of its own.
             return self[word[:-1]] + self.marks[word[-1]]
-        ids = self.tokenizer.encode(self.before + word, add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
+        elif word.isalpha():
+            # Letters with a space before them are one pre-token: straight to the model.
+            shown = (self.before + word).encode().decode("latin-1").translate(_ALPHABET)
+            found = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+        else:
+            found = self._library(self.before + word)
         if len(self) < CACHE_ENTRIES and len(word) < 64:
             self[word] = found
         return found
@@ -54,9 +76,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         pre, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
         self.by_word = normal is None and "ByteLevel(add_prefix_space=False" in repr(pre) and "use_regex=True" in repr(pre)
-        self.first, self.later = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
-        self.first[""] = b""
-        self.line = self._whole("\n")
+        self.first = _Words(self.tokenizer, "")
+        self.later = _Words(self.tokenizer, " ", self._whole("\n"), self.first)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -64,16 +85,13 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_word or WHOLE.search(text):
-            return self._whole(text)
-        parts: list[bytes] = []
-        later = self.later.__getitem__
-        for line in text.split("\n"):
-            words = line.split(" ")
-            parts.append(self.line)
-            parts.append(self.first[words[0]])
-            parts.extend(map(later, words[1:]))
-        return b"".join(parts[1:])
+        if self.by_word:
+            try:
+                first, *words = text.replace("\n", " \n").split(" ")
+                return self.first[first] + b"".join(map(self.later.__getitem__, words))
+            except _Whole:  # runs of white space leave empty words, which are not plain
+                pass
+        return self._whole(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
