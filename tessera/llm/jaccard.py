@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import connected_components, store
 
-BITS = 20
-CHUNK = 1 << 14
+BITS = 22
+CHUNK = 1 << 16
 #: Rounds in which each list links its sets with one leader, before all pairs of
 #: different components that are left in a list are taken.
 LEADER_ROUNDS = 2
@@ -99,10 +99,12 @@ def _slices(batch: pa.RecordBatch, rows: int = 300) -> Iterator[pa.RecordBatch]:
 
 def signatures(rows: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, h1, h2) of every row (id, text), and how often the shingles of
-    each of 2^BITS hash buckets occur in all rows."""
+    each of 2^BITS hash buckets occur in all rows: a task's count stops at 255,
+    which keeps what is sent small. Any counts would do, as long as all sets are
+    ordered by the same ones."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, "i8")
+        total = np.zeros(1 << BITS, "i4")
         for batch in batches:
             for part in _slices(batch):
                 sets = shingle_sets(part.column(1), width)
@@ -111,17 +113,20 @@ def signatures(rows: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x for x, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.int64()), pa.nulls(len(sets), pa.binary())], names=names)
         if total.any():
             at = range(0, len(total), CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array([-1 - c // CHUNK for c in at], pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array([total[c : c + CHUNK].astype("i8").tobytes() for c in at])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array([-1 - c // CHUNK for c in at], pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array([np.minimum(total[c : c + CHUNK], 255).astype("u1").tobytes() for c in at])], names=names)
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": group.n[:1], "counts": [sum(np.frombuffer(x, "i8") for x in group.counts).tobytes()]})
+        total = np.zeros(CHUNK, "i4")
+        for x in group.counts:
+            total += np.frombuffer(x, "u1")
+        return pd.DataFrame({"n": group.n[:1], "counts": [total.tobytes()]})
 
     names = ["doc_id", "n", "h1", "h2", "counts"]
     stored = store(rows.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, counts binary"), "signatures")
-    counts = np.zeros(1 << BITS, "i8")
-    # A fixed number of chunks reaches the driver: 8 MB in all.
+    counts = np.zeros(1 << BITS, "i4")
+    # A fixed number of chunks reaches the driver: 16 MB in all.
     for n, blob in stored.where("n < 0").select("n", "counts").groupBy("n").applyInPandas(add, "n long, counts binary").collect():
-        counts[(-1 - n) * CHUNK : (-n) * CHUNK] = np.frombuffer(blob, "i8")
+        counts[(-1 - n) * CHUNK : (-n) * CHUNK] = np.frombuffer(blob, "i4")
     return stored.where("n >= 0").drop("counts"), counts
 
 
