@@ -134,7 +134,7 @@ def _with_nulls(key: list[str]) -> list[str]:
     end = len(key)
     while end and key[end - 1].isspace():
         end -= 1
-    return [*nulls_last(key[:end]), " nulls last", *(key[end:] or [" "])]
+    return [*nulls_last(key[:end]), " nulls last", *key[end:]]
 
 
 def rewrite(text: str) -> str:

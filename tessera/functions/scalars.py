@@ -54,8 +54,8 @@ def like(s: Column, pattern: str, escape: str | None = None) -> Column:
     """LIKE without a default escape character."""
     if escape is None:
         pattern = pattern.replace("\\", "\\\\")
-        return s.like(F.lit(pattern))
-    return s.like(F.lit(pattern), F.lit(escape))
+        return F.like(s, F.lit(pattern))
+    return F.like(s, F.lit(pattern), F.lit(escape))
 
 
 def current_timestamp() -> Column:
