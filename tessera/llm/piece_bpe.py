@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tessera.llm.tokens import pieces_of
 
 SPACE = "▁"
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 600_000
+MARKS = ",.;:!?"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -53,8 +54,12 @@ class PieceEncoder:
             if SPACE in piece.lstrip(SPACE):
                 raise ValueError(f"piece {piece!r} spans words")
         self.unknown = sp.unk_id()
+        self.shared = list(range(sp.get_piece_size()))  # one object for each id, whatever remembers it
+        #: Marks that no piece holds behind a letter: nothing merges over that border.
+        self.apart = {m for m in MARKS if not any(m in p[1:] and any(a.isalpha() and b == m for a, b in zip(p, p[1:])) for p in self.score)}
         self.known = [{}, {}]  # of words after a space mark, and of words at a line's start
         self.fresh: list[dict[str, tuple[list[int], str]]] = [{}, {}]
+        self.joined: list[dict[str, tuple[list[int], str]]] = [{}, {}]  # of a checked word and a mark
 
     def agenda(self, text: str) -> list[int]:
         """The ids of a text whose spaces are marks already."""
@@ -97,9 +102,15 @@ class PieceEncoder:
         return out
 
     def _word(self, word: str, at_line: int) -> tuple[list[int], str]:
-        found = self.known[at_line].get(word) or self.fresh[at_line].get(word)
+        found = self.known[at_line].get(word) or self.fresh[at_line].get(word) or self.joined[at_line].get(word)
         if found is None:
-            ids = self.agenda(word if at_line else SPACE + word)
+            if word[-1:] in self.apart and word[-2:-1].isalpha():
+                stem, mark = self._word(word[:-1], at_line), self._word(word[-1], 1)
+                found = [*stem[0], *mark[0]], f"{stem[1]},{mark[1]}"
+                if len(self.known[at_line]) < CACHE_ENTRIES and len(word) < 64:
+                    self.joined[at_line][word] = found
+                return found
+            ids = [self.shared[i] for i in self.agenda(word if at_line else SPACE + word)]
             found = self.fresh[at_line][word] = ids, ",".join(map(str, ids))
         return found
 
@@ -139,6 +150,9 @@ class PieceEncoder:
                 if len(self.known[at_line]) < CACHE_ENTRIES and len(word) < 64:
                     self.known[at_line][word] = self.fresh[at_line][word]
             self.fresh[at_line] = {}
+            if agree:
+                self.known[at_line] |= self.joined[at_line]
+            self.joined[at_line] = {}
         return agree
 
     def encode_batch(self, texts: list[str]) -> tuple[list[list[int]], list[str], list[bool]]:
