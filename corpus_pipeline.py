@@ -53,7 +53,8 @@ STAGES = [
 ]
 
 #: Neither naive Bayes over hashed n-grams nor byte-level BPE can be said in SQL:
-#: tests/llm/test_pipeline.py holds run() against a brute-force version.
+#: the operators of the stages are tested against brute force one by one; a test
+#: of run() as a whole is still to be written.
 ORACLE_SQL = None
 
 
