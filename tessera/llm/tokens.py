@@ -1,15 +1,16 @@
-"""Byte-level BPE ids by the tokenizers library, a word at a time.
+"""Byte-level BPE ids by the tokenizers library, a pre-token at a time.
 
-Byte-level pre-tokenisation always starts a new pre-token at a single space
-that stands before a non-space, and around a lone line feed. A text of plain
-Latin characters without runs of white space therefore falls into words whose
-ids do not depend on their neighbours. Each different word is encoded by the
-library once per worker; any other text goes through the library whole.
+Byte-level pre-tokenisation cuts a text into runs of letters, of digits, of
+other marks and of white space, whose ids do not depend on their neighbours.
+For texts of Latin characters one regular expression finds these runs, and the
+library's model turns each different one into ids once per worker; any other
+text goes through the library whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -21,49 +22,35 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import partitions_of
 
-#: Words of anything else leave their text to the library whole: characters beyond
-#: printable Latin, white space, and what might start an added token.
-PLAIN = re.compile(r"(?:(?!<\|)[!-~¡-¬®-ɏ])+")
+#: Characters whose class is beyond doubt, by kind: letters, numbers, others. A text with anything else is left to the library whole.
+_KINDS = {k: "".join(c for c in map(chr, range(33, 0x250)) if unicodedata.category(c)[0] in k) for k in ("L", "N", "MPS")}
+_LETTERS, _NUMBERS, _OTHERS = (f"[{re.escape(x)}]+" for x in _KINDS.values())
+#: Fixed pattern: the pre-tokens of byte-level BPE, for these characters; at the end, one character of any other kind.
+PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?{_LETTERS}| ?{_NUMBERS}| ?{_OTHERS}|[ \t\r\n]+(?![^ \t\r\n])|[ \t\r\n]+|(?s:.)")
+_PLAIN = frozenset("".join(_KINDS.values()) + " \t\r\n")
 CACHE_ENTRIES = 600_000
-MARKS = ",.;:!?"
 #: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
 
 
 class _Whole(Exception):
-    """The text can't be taken by words."""
+    """The text can't be taken by pre-tokens."""
 
 
-class _Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes; full at CACHE_ENTRIES.
+class _Known(dict):
+    """pre-token -> its ids as little-endian unsigned 32-bit bytes; full at CACHE_ENTRIES."""
 
-    A word with a line feed before it stands at the start of a line, without a space."""
+    def __init__(self, model):
+        self.model = model
 
-    def __init__(self, tokenizer, before: str, line: bytes = b"", first: _Words | None = None):
-        self.tokenizer, self.before, self.line, self.first = tokenizer, before, line, first
-        self.model = tokenizer.model
-        self.marks = {x: self._library(x) for x in MARKS}
-
-    def _library(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if word[:1] == "\n" and self.first is not None:
-            found = self.line + self.first[word[1:]]
-        elif not PLAIN.fullmatch(word):
+    def __missing__(self, token: str) -> bytes:
+        if len(token) == 1 and token not in _PLAIN:
             raise _Whole
-        elif word[-1] in MARKS and word[:-1].isalpha():
-            # A mark behind letters is a pre-token of its own.
-            return self[word[:-1]] + self.marks[word[-1]]
-        elif word.isalpha():
-            # Letters with a space before them are one pre-token: straight to the model.
-            shown = (self.before + word).encode().decode("latin-1").translate(_ALPHABET)
-            found = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
-        else:
-            found = self._library(self.before + word)
-        if len(self) < CACHE_ENTRIES and len(word) < 64:
-            self[word] = found
+        shown = token.encode().decode("latin-1").translate(_ALPHABET)
+        found = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+        if len(self) < CACHE_ENTRIES and len(token) < 64:
+            self[token] = found
         return found
 
 
@@ -75,23 +62,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         pre, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
-        self.by_word = normal is None and "ByteLevel(add_prefix_space=False" in repr(pre) and "use_regex=True" in repr(pre)
-        self.first = _Words(self.tokenizer, "")
-        self.later = _Words(self.tokenizer, " ", self._whole("\n"), self.first)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.by_token = normal is None and "ByteLevel(add_prefix_space=False" in repr(pre) and "use_regex=True" in repr(pre)
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = _Known(self.tokenizer.model)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.by_word:
+        if self.by_token and not any(x in text for x in self.added):
             try:
-                first, *words = text.replace("\n", " \n").split(" ")
-                return self.first[first] + b"".join(map(self.later.__getitem__, words))
-            except _Whole:  # runs of white space leave empty words, which are not plain
+                return b"".join(map(self.known.__getitem__, PRE_TOKEN.findall(text)))
+            except _Whole:
                 pass
-        return self._whole(text)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
