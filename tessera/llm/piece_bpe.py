@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 from collections.abc import Iterator
 from itertools import chain
 
@@ -16,7 +17,7 @@ from tessera.llm.tokens import pieces_of
 
 SPACE = "▁"
 CACHE_ENTRIES = 600_000
-MARKS = ",.;:!?"
+MARKS = string.punctuation
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -59,7 +60,7 @@ class PieceEncoder:
         self.apart = {m for m in MARKS if not any(m in p[1:] and any(a.isalpha() and b == m for a, b in zip(p, p[1:])) for p in self.score)}
         self.known = [{}, {}]  # of words after a space mark, and of words at a line's start
         self.fresh: list[dict[str, tuple[list[int], str]]] = [{}, {}]
-        self.joined: list[dict[str, tuple[list[int], str]]] = [{}, {}]  # of a checked word and a mark
+        self.joined: list[dict[str, tuple[list[int], str]]] = [{}, {}]  # of a checked word and its marks
 
     def agenda(self, text: str) -> list[int]:
         """The ids of a text whose spaces are marks already."""
@@ -104,9 +105,10 @@ class PieceEncoder:
     def _word(self, word: str, at_line: int) -> tuple[list[int], str]:
         found = self.known[at_line].get(word) or self.fresh[at_line].get(word) or self.joined[at_line].get(word)
         if found is None:
-            if word[-1:] in self.apart and word[-2:-1].isalpha():
-                stem, mark = self._word(word[:-1], at_line), self._word(word[-1], 1)
-                found = [*stem[0], *mark[0]], f"{stem[1]},{mark[1]}"
+            letters = word.rstrip(MARKS)
+            if len(letters) < len(word) and letters[-1:].isalpha() and word[len(letters)] in self.apart:
+                stem, marks = self._word(letters, at_line), self._word(word[len(letters) :], 1)
+                found = [*stem[0], *marks[0]], f"{stem[1]},{marks[1]}"
                 if len(self.known[at_line]) < CACHE_ENTRIES and len(word) < 64:
                     self.joined[at_line][word] = found
                 return found
