@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import connected_components, store
+from tessera.llm.shared import connected_components, forget, store
 
 BITS = 22
 CHUNK = 1 << 16
@@ -104,6 +104,7 @@ def signatures(rows: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     ordered by the same ones."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(1 << BITS, "i4")
         for batch in batches:
             for part in _slices(batch):
@@ -137,6 +138,7 @@ def prefixes(rows: DataFrame, width: int, percent: int, counts: np.ndarray) -> D
     sent = rows.sparkSession.sparkContext.broadcast(counts)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         order, seen = sent.value, set()
         for batch in batches:
             for part in _slices(batch):
@@ -281,6 +283,7 @@ def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held = sent.value
         for batch in batches:
             p = batch.column(0).to_numpy(zero_copy_only=False) - 1

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import forget
 from tessera.llm.tokens import pieces_of
 
 ORDERS = (1, 2, 3, 4)
@@ -78,6 +79,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", al
     bins = 1 << max(8, min(bits, 22 - max(6, (len(languages) - 1).bit_length())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         totals = np.zeros((len(languages), bins + 1), "i8")
         for batch in batches:
             for part in pieces_of(batch):
@@ -117,6 +119,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     sent = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = sent.value
         for batch in batches:
             for rows in pieces_of(batch):

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import forget, remembered
 from tessera.llm.tokens import pieces_of
 
 SPACE = "▁"
@@ -174,10 +175,11 @@ class PieceEncoder:
         return ids, joined, same
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[str, PieceEncoder] = remembered()
 
 
 def piece_encoder(path: str) -> PieceEncoder:
+    forget(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,25 @@ def store(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+#: What operators remember in a Python worker, which Spark keeps from task to task.
+_REMEMBERED: list[dict] = []
+
+
+def remembered() -> dict:
+    """A dictionary that lives as long as the worker, or until another operator needs the memory."""
+    _REMEMBERED.append({})
+    return _REMEMBERED[-1]
+
+
+def forget(but: dict | None = None) -> None:
+    """Let go of what other operators remembered in this worker than in `but`."""
+    freed = [x for x in _REMEMBERED if x is not but and x]
+    for x in freed:
+        x.clear()
+    if freed:
+        pa.default_memory_pool().release_unused()
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import partitions_of
+from tessera.llm.shared import forget, partitions_of, remembered
 
 #: Characters whose class is beyond doubt, by kind: letters, numbers, others. A text with anything else is left to the library whole.
 _KINDS = {k: "".join(c for c in map(chr, range(33, 0x250)) if unicodedata.category(c)[0] in k) for k in ("L", "N", "MPS")}
@@ -77,11 +77,12 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = remembered()
 
 
 def encoder(path: str) -> Encoder:
     """One per Python worker, which Spark keeps from task to task."""
+    forget(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
