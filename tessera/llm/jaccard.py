@@ -87,6 +87,26 @@ def digest(found: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype="u8").view("i8")), int(np.bitwise_xor.reduce(b).view("i8"))
 
 
+def pack_set(found: np.ndarray) -> bytes:
+    """A sorted set without loss: its size, the gaps of the top 16 bits, which are
+    small in large sets, compressed, and the other six bytes of each hash as they are."""
+    gaps = np.diff(found >> np.uint64(48), prepend=np.uint64(0)).astype("<u2")
+    planes = np.ascontiguousarray(gaps.view("u1").reshape(-1, 2).T)
+    rest = np.ascontiguousarray(found.astype("<u8").view("u1").reshape(-1, 8)[:, :6])
+    return len(found).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True) + rest.tobytes()
+
+
+def unpack_set(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    if not n:
+        return np.zeros(0, "u8")
+    planes = np.frombuffer(pa.decompress(blob[4 : len(blob) - 6 * n], 2 * n, "zstd", asbytes=True), "u1").reshape(2, n)
+    out = np.zeros((n, 8), "u1")
+    out[:, :6] = np.frombuffer(blob, "u1", offset=len(blob) - 6 * n).reshape(n, 6)
+    gaps = planes[0].astype("u8") | planes[1].astype("u8") << np.uint64(8)
+    return out.view("<u8")[:, 0] | np.cumsum(gaps, dtype="u8") << np.uint64(48)
+
+
 def needed(a: int, b: int, percent: int) -> int:
     """The least overlap with which sets of these sizes reach the similarity."""
     return -(-percent * (a + b) // (100 + percent))
@@ -114,12 +134,12 @@ def signatures(rows: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x for x, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.int64()), pa.nulls(len(sets), pa.binary())], names=names)
         if total.any():
             at = range(0, len(total), CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array([-1 - c // CHUNK for c in at], pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array([np.minimum(total[c : c + CHUNK], 255).astype("u1").tobytes() for c in at])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array([-1 - c // CHUNK for c in at], pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array([pa.compress(np.minimum(total[c : c + CHUNK], 255).astype("u1").tobytes(), "zstd", asbytes=True) for c in at])], names=names)
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, "i4")
         for x in group.counts:
-            total += np.frombuffer(x, "u1")
+            total += np.frombuffer(pa.decompress(x, CHUNK, "zstd", asbytes=True), "u1")
         return pd.DataFrame({"n": group.n[:1], "counts": [total.tobytes()]})
 
     names = ["doc_id", "n", "h1", "h2", "counts"]
@@ -290,7 +310,7 @@ def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             hit = batch.filter(pa.array((held[p >> 3] >> (p & 7).astype("u1")) & 1 == 1))
             for part in _slices(hit):
                 found = shingle_sets(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([pa.array([digest(x)[0] for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["set_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x)[0] for x in found], pa.int64()), pa.array([pack_set(x) for x in found], pa.binary())], names=["set_id", "shingles"])
 
     known = rows.where("doc_id is not null").select(place("doc_id").alias("p"), "text")
     return known.mapInArrow(build, "set_id long, shingles binary")
@@ -304,7 +324,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             left, right = (batch.column(k).to_pylist() for k in (2, 3))
             na, nb, overlap = [], [], []
             for x, y in zip(left, right, strict=True):
-                p, q = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+                p, q = unpack_set(x), unpack_set(y)
                 na.append(len(p))
                 nb.append(len(q))
                 overlap.append(len(np.intersect1d(p, q, assume_unique=True)))

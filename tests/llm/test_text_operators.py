@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessera.llm import brown, jaccard, secrets, spotsigs
@@ -82,3 +83,12 @@ def test_brown(docs):
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in own))
         assert r.score < 0
     assert brown.score(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 300, 40_000])
+def test_packed_sets_come_back(n):
+    found = np.unique(np.random.default_rng(n).integers(0, 2**64, n, "u8"))
+    if n > 1:
+        found[0], found[-1] = 0, 2**64 - 1
+    packed = jaccard.pack_set(found)
+    assert (jaccard.unpack_set(packed) == found).all()
