@@ -17,6 +17,8 @@ from tessera.llm.shared import connected_components, store
 SAMPLE = 4096
 #: Rows on either side of a tile at most, in the mean.
 TILE = 4096
+#: Pivots closer than this are one: many are drawn from copies of a single vector.
+APART = 1e-4
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -27,7 +29,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def fit_pivots(sample: np.ndarray, count: int, rounds: int = 4) -> np.ndarray:
-    """Spherical k-means centres of unit vectors; deterministic."""
+    """Spherical k-means centres of unit vectors, no two within APART; deterministic."""
     pivots = sample[np.linspace(0, len(sample) - 1, count).astype(int)]
     for _ in range(rounds):
         home = (sample @ pivots.T).argmax(1)
@@ -35,19 +37,33 @@ def fit_pivots(sample: np.ndarray, count: int, rounds: int = 4) -> np.ndarray:
         np.add.at(sums, home, sample)
         norm = np.sqrt((sums**2).sum(1))
         pivots = np.where(norm[:, None] > 1e-9, sums / np.maximum(norm, 1e-9)[:, None], pivots)
-    return np.unique(pivots, axis=0)
+    pivots = np.unique(pivots, axis=0)
+    chosen: list[int] = []
+    for i in range(len(pivots)):
+        if not chosen or distances(pivots[chosen], pivots[i]).min() >= APART:
+            chosen.append(i)
+    return pivots[chosen]
+
+
+def distances(rows: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The distance of each row, by differences: exact for near ones too."""
+    return np.sqrt(((rows - to) ** 2).sum(1))
 
 
 def places(unit: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """The home cell of each vector, and a mask of the cells below it that may
     hold the home of a vector within `radius`: those whose bisector with the home
-    pivot is no farther than that."""
+    pivot is no farther than that.
+
+    The difference of the square distances to two pivots changes by 2 `apart` a
+    step at most, and is 0 or less at the partner. It's compared without dividing:
+    pivots that are all but equal are guests of each other by the last term, which
+    covers rounding."""
     square = ((unit[:, None, :] - pivots[None]) ** 2).sum(2) if len(pivots) * unit.size < 4e6 else np.maximum(0, 1 + (pivots**2).sum(1) - 2 * unit @ pivots.T)
     home = square.argmin(1)
-    apart = np.sqrt(np.maximum(0, (pivots**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * pivots @ pivots.T))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        to_bisector = (square - square[np.arange(len(unit)), home][:, None]) / (2 * apart[home])
-    return home, (to_bisector <= radius + 1e-7) & (np.arange(len(pivots)) < home[:, None])
+    apart = np.stack([distances(pivots, p) for p in pivots])
+    beyond = square - square[np.arange(len(unit)), home][:, None]
+    return home, (beyond <= 2 * apart[home] * (radius + 1e-7) + 1e-9) & (np.arange(len(pivots)) < home[:, None])
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

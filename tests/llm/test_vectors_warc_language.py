@@ -58,6 +58,32 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def pairs_lost(unit, pivots, radius, batch):
+    """Pairs within `radius` of which neither vector is dealt to the other's home."""
+    parts = [embeddings.places(unit[k : k + batch], pivots, radius) for k in range(0, len(unit), batch)]
+    home, near = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 1 - radius**2 / 2, 1))
+    met = (home[i] == home[j]) | near[i, home[j]] | near[j, home[i]]
+    return len(i), int((~met).sum())
+
+
+@pytest.mark.parametrize("batch", [200, 3000])
+def test_no_pair_is_lost_beside_a_hot_vector(batch):
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=32)
+    spread = rng.normal(size=(40, 32))[rng.integers(0, 40, 1800)] + rng.normal(size=(1800, 32)) * 0.15
+    near = hot + rng.normal(size=(300, 32)) * 0.1
+    unit = embeddings._unit(np.concatenate([np.tile(hot, (900, 1)), near, spread])[rng.permutation(3000)].astype("f4"))
+    radius = math.sqrt(2 - 2 * 0.95)
+    pivots = embeddings.fit_pivots(unit, 60)
+    assert len(pivots) > 20
+    found, lost = pairs_lost(unit, pivots, radius, batch)
+    assert found > 100_000 and lost == 0
+    # Pivots that differ by rounding alone.
+    twins = np.concatenate([pivots, pivots * (1 + 2e-16), pivots[:1]])
+    assert pairs_lost(unit, twins, radius, batch) == (found, 0)
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(2)
     unit = embeddings._unit(rng.normal(size=(300, 24)) + 2 * rng.normal(size=24))
