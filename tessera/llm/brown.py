@@ -13,12 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import store
+from tessera.llm.shared import remove, store
 from tessera.llm.tokens import pieces_of
 
-#: A word is clustered by itself if at least one of HEAD training tokens is it:
-#: so there are HEAD such words at most, however large the corpus. Fewer than
-#: LEAST occurrences say too little about a word's class.
+#: Words with LEAST or more occurrences are clustered by themselves; fewer say too
+#: little about a word's class. Those of them with at least one of HEAD training
+#: tokens, HEAD at most and no longer than LONGEST bytes, are known to every
+#: worker; the others, in a table of any size, get their symbols by a join.
 HEAD = 1 << 19
 LEAST = 5
 #: All other words enter the clustering by the group of their last two bytes.
@@ -58,142 +59,187 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Symbols(dict):
-    """word -> symbol; remembers some of the words that aren't clustered by themselves."""
-
-    def __init__(self, head: list[bytes]):
-        super().__init__((w, i + 1) for i, w in enumerate(head))
-        self.first_group, self.room = len(head) + 1, 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        symbol = self.first_group + group_of(word)
-        if self.room and len(word) <= LONGEST:
-            self[word] = symbol
-            self.room -= 1
-        return symbol
-
-
-_TABLES: dict[str, _Symbols] = {}  # of the last model that this worker encoded for
+_TABLES: dict[str, dict[bytes, int]] = {}  # of the last model that this worker encoded for
 
 
 def encode(rows: DataFrame, head) -> DataFrame:
     """(row, doc_id, fold, symbols, words, counts) of rows (doc_id, fold, text):
     symbols as int32 bytes, 0 for the end; and the document's different words
-    that are in groups, with their counts."""
+    that aren't of the head, with their counts. Word k of these has -k - 1 for a
+    symbol as yet."""
 
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _TABLES:
             _TABLES.clear()
-            _TABLES[name] = _Symbols(head.value)
-        table = _TABLES[name]
-        of, first = table.__getitem__, table.first_group
+            _TABLES[name] = {w: i + 1 for i, w in enumerate(head.value)}
+        of = _TABLES[name].get
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in pieces_of(batch):
                 symbols, words, counts = [], [], []
                 for text in part.column(2).to_pylist():
                     own = text.lower().split()
-                    found = np.fromiter(map(of, own), "i4", len(own))
-                    rare: dict[bytes, int] = {}
-                    for i in np.flatnonzero(found >= first).tolist():
-                        rare[own[i]] = rare.get(own[i], 0) + 1
+                    found = np.fromiter((of(w, 0) for w in own), "i4", len(own))
+                    places: dict[bytes, int] = {}
+                    other = np.flatnonzero(found == 0)
+                    local = np.fromiter((places.setdefault(own[i], len(places)) for i in other.tolist()), "i4", len(other))
+                    found[other] = -1 - local
                     symbols.append(np.append(found, np.int32(0)).tobytes())
-                    words.append(list(rare))
-                    counts.append(list(rare.values()))
+                    words.append(list(places))
+                    counts.append(np.bincount(local, minlength=len(places)).tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(symbols))), part.column(0), part.column(1), pa.array(symbols, pa.binary()), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32()))], names=["row", "doc_id", "fold", "symbols", "words", "counts"])
                 row += len(symbols)
 
     return rows.mapInArrow(run, "row long, doc_id long, fold long, symbols binary, words array<binary>, counts array<int>")
 
 
-def contexts(training: DataFrame, classes: np.ndarray, n_classes: int) -> DataFrame:
+def numbered(words: DataFrame, first: int) -> tuple[DataFrame, int]:
+    """`words` with a `symbol` each, from `first` on without gaps; and their number."""
+    kept = store(words.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "tail")
+    # A row for each partition.
+    offsets, n = [], 0
+    for r in kept.groupBy("part").agg(F.count("*").alias("n")).collect():
+        offsets.append((r.part, first + n))
+        n += r.n
+    table = words.sparkSession.createDataFrame(offsets, "part int, offset long")
+    return kept.join(F.broadcast(table), "part").withColumn("symbol", (F.col("at") + F.col("offset")).cast("int")).drop("part", "at", "offset"), n
+
+
+def resolve(encoded: DataFrame, found: DataFrame) -> DataFrame:
+    """`encoded` with the symbols of all words: `found` has, for each row with words
+    outside the head, `pairs` of a word's place and its symbol, and sums that stay."""
+    sums = [c for c in found.columns if c not in ("row", "pairs")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for blob, pairs in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                x = np.frombuffer(blob, "i4")
+                if pairs.is_valid and len(pairs):
+                    place, symbol = (c.to_numpy() for c in pairs.values.flatten())
+                    table = np.zeros(len(place), "i4")
+                    table[place] = symbol
+                    x = np.where(x < 0, table[np.where(x < 0, -1 - x, 0)], x)
+                out.append(x.astype("i4").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary()), *batch.columns[4:]], names=["doc_id", "fold", "symbols", *sums])
+
+    joined = encoded.select("row", "doc_id", "fold", "symbols").join(found, "row", "left").select("doc_id", "fold", "symbols", "pairs", *(F.coalesce(c, F.lit(0)).alias(c) for c in sums))
+    kinds = dict(joined.dtypes)
+    return joined.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "fold", "symbols", *sums)))
+
+
+def small(classes: np.ndarray) -> np.ndarray:
+    """Classes in as few bytes as hold them, to be sent."""
+    return classes.astype(np.min_scalar_type(int(classes.max(initial=0))))
+
+
+def contexts(training: DataFrame, classes: np.ndarray, n_classes: int, dense: int) -> DataFrame:
     """(block, counts) summed over all `training` symbols, as int64 bytes: for each
     block of BLOCK symbols the classes that follow, the classes before, and the
     symbol's own repeats; block -1 holds the class bigrams. A document's first
-    token follows an end."""
-    size = len(classes)
-    blocks = -(-size // BLOCK)
-    sent = training.sparkSession.sparkContext.broadcast(classes)
+    token follows an end.
+
+    A task adds up the `dense` first symbols, a multiple of BLOCK, in a table, and
+    sends what it finds of others some million tokens at a time."""
+    blocks = dense // BLOCK
+    sent = training.sparkSession.sparkContext.broadcast(small(classes))
     width = 2 * n_classes + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = sent.value.astype("i8")
+        cls = sent.value
         total = np.zeros((blocks * BLOCK, width), "i8")
         pairs = np.zeros(n_classes * n_classes, "i8")
         held, n = [], 0
+        names = ["block", "at", "counts"]
 
-        def add() -> None:
+        def add() -> pa.RecordBatch | None:
             x = np.concatenate(held).astype("i8")
             prev = np.r_[0, x[:-1]]  # every document ends in symbol 0
-            a, b = cls[prev], cls[x]
-            flat = total.reshape(-1)
-            flat += np.bincount(prev * width + b, minlength=len(flat))
-            flat += np.bincount(x * width + n_classes + a, minlength=len(flat))
-            flat += np.bincount(x[x == prev] * width + 2 * n_classes, minlength=len(flat))
+            a, b = cls[prev].astype("i8"), cls[x].astype("i8")
             pairs[:] += np.bincount(a * n_classes + b, minlength=len(pairs))
+            flat = total.reshape(-1)
+            rest = []
+            for key in (prev * width + b, x * width + n_classes + a, x[x == prev] * width + 2 * n_classes):
+                low = key < len(flat)
+                flat += np.bincount(key[low], minlength=len(flat))
+                rest.append(key[~low])
+            key, counts = np.unique(np.concatenate(rest), return_counts=True)
+            if not len(key):
+                return None
+            block, at = np.divmod(key, BLOCK * width)
+            start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            parts = [(at[i:j].astype("i4").tobytes(), counts[i:j].astype("i4").tobytes()) for i, j in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(block[start].astype("i4")), pa.array([p[0] for p in parts]), pa.array([p[1] for p in parts])], names=names)
 
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 held.append(np.frombuffer(blob, "i4"))
                 n += len(held[-1])
                 if n > 2_000_000:
-                    add()
+                    out = add()
                     held, n = [], 0
+                    if out is not None:
+                        yield out
         if held:
-            add()
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.arange(len(pairs), dtype="i4").tobytes()]), pa.array([pairs.tobytes()])], names=["block", "at", "counts"])
+            out = add()
+            if out is not None:
+                yield out
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.arange(len(pairs), dtype="i4").tobytes()]), pa.array([pairs.tobytes()])], names=names)
         for k in range(blocks):
             own = total[k * BLOCK : (k + 1) * BLOCK].reshape(-1)
             at = np.flatnonzero(own)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype("i4").tobytes()]), pa.array([own[at].tobytes()])], names=["block", "at", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype("i4").tobytes()]), pa.array([own[at].tobytes()])], names=names)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         block = int(group.block.iloc[0])
         out = np.zeros(n_classes * n_classes if block < 0 else BLOCK * width, "i8")
         for at, counts in zip(group["at"], group.counts, strict=True):
-            out[np.frombuffer(at, "i4")] += np.frombuffer(counts, "i8")
+            out[np.frombuffer(at, "i4")] += np.frombuffer(counts, "i8" if len(counts) > len(at) else "i4")
         return pd.DataFrame({"block": [block], "counts": [out.tobytes()]})
 
     return training.select("symbols").mapInArrow(count, "block int, at binary, counts binary").groupBy("block").applyInPandas(merge, "block int, counts binary")
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    """For counts: 0 or from 1 on."""
+    return x * np.log(np.maximum(x, 1))
 
 
-def gains(pairs: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, repeats: int) -> np.ndarray:
-    """The log likelihood, up to a constant, with a symbol of class `own` moved to
-    each class: exact, from the class bigrams and the symbol's class contexts."""
-    n = len(pairs)
+def gains(pairs: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """The log likelihood, up to a constant, with each of some symbols, of classes
+    `own`, moved to each class: exact, from the class bigrams and the symbols' class
+    contexts, a row each."""
+    m, n = after.shape
+    k, repeats = np.arange(m), repeats.astype(float)
     after, before = after.astype(float), before.astype(float)
-    after[own] -= repeats
-    before[own] -= repeats
-    rest = pairs.astype(float)
-    rest[own] -= after
-    rest[:, own] -= before
-    rest[own, own] -= repeats
+    after[k, own] -= repeats
+    before[k, own] -= repeats
+    rest = np.repeat(pairs[None].astype(float), m, 0)
+    rest[k, own] -= after
+    rest[k, :, own] -= before
+    rest[k, own, own] -= repeats
     f = xlogx(rest)
-    out = (xlogx(rest + after) - f).sum(1) + (xlogx(rest + before[:, None]) - f).sum(0)
-    diagonal = rest.diagonal()
+    out = (xlogx(rest + after[:, None]) - f).sum(2) + (xlogx(rest + before[:, :, None]) - f).sum(1)
+    diagonal = rest.diagonal(0, 1, 2)
+    r = repeats[:, None]
     # The symbol's class meets itself: that cell was counted in its row and its column.
-    out += xlogx(diagonal + after + before + repeats) - xlogx(diagonal + after) - xlogx(diagonal + before) + f.diagonal()
-    rows, columns = rest.sum(1), rest.sum(0)
+    out += xlogx(diagonal + after + before + r) - xlogx(diagonal + after) - xlogx(diagonal + before) + f.diagonal(0, 1, 2)
     # A bigram of two members adds to the totals of the classes of both: those
     # beside the symbol gain `before` in their rows, `after` in their columns.
-    rows, columns = rows + before, columns + after
-    out -= xlogx(rows + after.sum() + repeats) - xlogx(rows)
-    out -= xlogx(columns + before.sum() + repeats) - xlogx(columns)
-    assert out.shape == (n,)
+    rows, columns = rest.sum(2) + before, rest.sum(1) + after
+    out -= xlogx(rows + after.sum(1, keepdims=True) + r) - xlogx(rows)
+    out -= xlogx(columns + before.sum(1, keepdims=True) + r) - xlogx(columns)
+    assert out.shape == (m, n)
     return out
 
 
 def exchange(stored: DataFrame, classes: np.ndarray, n_classes: int, sweep: int) -> tuple[np.ndarray, int]:
     """Move half of the symbols, alternately, to their best classes."""
     (pairs,) = (np.frombuffer(r.counts, "i8").reshape(n_classes, n_classes) for r in stored.where("block = -1").collect())
-    sent = stored.sparkSession.sparkContext.broadcast((pairs, classes))
+    sent = stored.sparkSession.sparkContext.broadcast((pairs, small(classes)))
     width = 2 * n_classes + 1
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +248,16 @@ def exchange(stored: DataFrame, classes: np.ndarray, n_classes: int, sweep: int)
             for block, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = np.frombuffer(blob, "i8").reshape(BLOCK, width)
                 symbols, best = [], []
-                for k in np.flatnonzero(rows.any(1)).tolist():
-                    symbol = block * BLOCK + k
-                    if symbol * 2654435761 % 4294967296 >> 31 == sweep % 2:
-                        value = gains(pairs, int(cls[symbol]), rows[k, :n_classes], rows[k, n_classes:-1], int(rows[k, -1]))
-                        b = int(value.argmax())
-                        if value[b] > value[cls[symbol]] + 1e-6:
-                            symbols.append(symbol)
-                            best.append(b)
+                there = np.flatnonzero(rows.any(1))
+                there = there[(block * BLOCK + there).astype("u8") * 2654435761 % 4294967296 >> 31 == sweep % 2]
+                for i in range(0, len(there), 256):
+                    part = there[i : i + 256]
+                    own = cls[block * BLOCK + part].astype("i8")
+                    value = gains(pairs, own, rows[part, :n_classes], rows[part, n_classes:-1], rows[part, -1])
+                    b, k = value.argmax(1), np.arange(len(part))
+                    moves = value[k, b] > value[k, own] + 1e-6
+                    symbols += (block * BLOCK + part[moves]).tolist()
+                    best += b[moves].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.int32()), pa.array(best, pa.int32())], names=["symbol", "class"])
 
     moved = stored.where("block >= 0").repartition("block").mapInArrow(choose, "symbol int, class int").toArrow()
@@ -228,16 +276,17 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, n_classes: int = C
 
         P(w | v) = P(c(w) | c(v)) P(symbol(w) | c(w)) [P(w | group)]
 
-    over classes that exchange clustering finds: words with at least one of HEAD
-    training tokens are symbols themselves, which bounds what is broadcast; the
-    rest, in groups by their last two bytes, have P(w | group) = (c + 1) /
+    over classes that exchange clustering finds: words with LEAST or more training
+    tokens are symbols themselves, in a corpus of any size; the rest, in groups by
+    their last two bytes, have P(w | group) = (c + 1) /
     (N_g + V_g + 1), an unknown word the last share, as the base has it. Transitions are smoothed by
     class unigrams, emissions by an added count, so the model is a proper
     distribution over known words and one unknown word a group.
 
     Counts cover all training documents. Every sweep counts the contexts of all
-    training tokens by block of symbols and computes each move's exact gain. The
-    words in groups meet their counts in an equi-join.
+    tokens by block of symbols and computes each move's exact gain. Words
+    outside the head meet their symbols and counts in an equi-join; what the
+    driver and every worker hold of such a word is a byte, its class.
 
     A null text counts as empty: the end alone. Rows without an id are scored,
     not held out and not trained on. Repeated rows come out each.
@@ -256,63 +305,81 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, n_classes: int = C
     head = [bytes(r.word) for r in heads]
     sent_head = spark.sparkContext.broadcast(head)
     group = (F.crc32(F.substring("word", -2, 2)) % GROUPS).cast("int")
-    rare = counted.where(~is_head).select("word", "n", group.alias("grp"))
+    # Symbols: 0, the head, the groups; from a whole block on, the other clustered words.
+    first = len(head) + 1 + GROUPS
+    dense = -(-first // BLOCK) * BLOCK
+    tail, n_tail = numbered(counted.where(~is_head & (F.col("n") >= LEAST)).select("word", "n"), dense)
+    rare = counted.where(~is_head & (F.col("n") < LEAST)).select("word", "n", group.alias("grp"))
     in_group = np.zeros((GROUPS, 2), "i8")
     for r in rare.groupBy("grp").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         in_group[r.grp] = r.n, r.v
     count = np.r_[ends, [r.n for r in heads], in_group[:, 0]].astype("i8")
 
-    encoded = store(encode(rows, sent_head), "symbols")
+    coded = store(encode(rows, sent_head), "symbols")
+    # GROUPS rows.
+    sizes = F.broadcast(spark.createDataFrame([(g, n + v + 1) for g, (n, v) in enumerate(in_group.tolist())], "grp int, size long"))
+    tokens = coded.select("row", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "t")).select("row", "place", F.col("t.words").alias("word"), F.col("t.counts").alias("tf"))
+    outside = tail.unionByName(rare.select("word", "n", F.lit(None).cast("int").alias("symbol")))
+    joined = tokens.join(outside.hint("shuffle_hash"), "word", "left").withColumn("grp", group).join(sizes, "grp")
+    seen = F.coalesce("n", F.lit(0))
+    # A clustered word's emission lacks the share of its class as yet.
+    own = F.when(F.col("symbol").isNotNull(), F.log10(seen + EMISSION)).otherwise(F.log10((seen + 1) / F.col("size")))
+    found = joined.groupBy("row").agg(
+        F.collect_list(F.struct("place", F.coalesce("symbol", F.col("grp") + len(head) + 1).alias("symbol"))).alias("pairs"),
+        F.sum(F.when(seen > 0, F.col("tf")).otherwise(0)).alias("out_known"),
+        F.sum(F.col("tf") * F.log10((seen + 1) / F.lit(float(total + distinct + 1)))).alias("out_base"),
+        F.sum(F.col("tf") * own).alias("out_own"),
+    )
+    encoded = store(resolve(coded, found), "symbols")
+    remove(spark, coded.path)
     training = encoded.where(trains)
     order = np.argsort(-count, kind="stable")
-    classes = np.empty(len(count), "i4")
+    classes = np.zeros(dense + n_tail, "i4")
     classes[order] = np.arange(len(count)) % n_classes
+    classes[dense:] = np.arange(n_tail) % n_classes
     for sweep in range(sweeps):
-        classes, moved = exchange(store(contexts(training, classes, n_classes), "contexts"), classes, n_classes, sweep)
+        stored = store(contexts(training, classes, n_classes, dense), "contexts")
+        classes, moved = exchange(stored, classes, n_classes, sweep)
+        remove(spark, stored.path)
         if not moved and sweep % 2:
             break
-    final = contexts(training, classes, n_classes).where("block = -1").collect()
+    final = contexts(training, classes, n_classes, dense).where("block = -1").collect()
     pairs = np.frombuffer(final[0].counts, "i8").reshape(n_classes, n_classes) if final else np.zeros((n_classes, n_classes))
-    of_class = np.bincount(classes, count, n_classes)
+    # Every token, the end too, is the second of one bigram.
+    of_class = pairs.sum(0)
+    members = np.bincount(classes[:first], minlength=n_classes) + np.bincount(classes[dense:], minlength=n_classes)
     unigram = (of_class + 1) / (of_class.sum() + n_classes)
     transition = np.log10((pairs + TRANSITION * unigram) / (pairs.sum(1, keepdims=True) + TRANSITION))
-    emission = np.log10((count + EMISSION) / (of_class + EMISSION * np.bincount(classes, minlength=n_classes))[classes])
+    emission = np.log10(count + EMISSION)
+    share = np.log10(np.maximum(of_class + EMISSION * members, EMISSION))  # a class without members is never met
     base = np.log10((count + 1) / (total + distinct + 1))
     base[len(head) + 1 :] = 0
     known = count > 0
     known[len(head) + 1 :] = False
-    sent = spark.sparkContext.broadcast((classes, transition, emission, base, known))
+    sent = spark.sparkContext.broadcast((small(classes), transition, emission, share, base, known))
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, transition, emission, base, known = sent.value
+        classes, transition, emission, share, base, known = sent.value
         for batch in batches:
             out = []
-            for blob in batch.column(3).to_pylist():
+            for blob in batch.column(2).to_pylist():
                 x = np.frombuffer(blob, "i4")
                 c = classes[x]
+                low = x[x < dense]
                 prev = np.r_[classes[0], c[:-1]]
-                out.append((len(x), int(known[x].sum()), float(base[x].sum()), float(transition[prev, c].sum() + emission[x].sum())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))] if out else [*batch.columns[:3], *(pa.nulls(0, k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["row", "doc_id", "fold", "n_tokens", "n_known", "base", "own"])
+                out.append((len(x), int(known[low].sum()), float(base[low].sum()), float(transition[prev, c].sum() + emission[low].sum() - share[c].sum())))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True))], names=["doc_id", "fold", *batch.schema.names[3:], "n_tokens", "n_known", "base", "own"])
 
-    by_symbol = encoded.select("row", "doc_id", "fold", "symbols").mapInArrow(evaluate, "row long, doc_id long, fold long, n_tokens long, n_known long, base double, own double")
-    # GROUPS rows.
-    sizes = F.broadcast(spark.createDataFrame([(g, n + v + 1) for g, (n, v) in enumerate(in_group.tolist())], "grp int, size long"))
-    tokens = encoded.select("row", F.explode(F.arrays_zip("words", "counts")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.counts").alias("tf"))
-    joined = tokens.join(rare.select("word", "n").hint("shuffle_hash"), "word", "left").withColumn("grp", group).join(sizes, "grp")
-    seen = F.coalesce("n", F.lit(0))
-    of_rare = joined.groupBy("row").agg(
-        F.sum(F.when(seen > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("tf") * F.log10((seen + 1) / F.lit(float(total + distinct + 1)))).alias("rare_base"),
-        F.sum(F.col("tf") * F.log10((seen + 1) / F.col("size"))).alias("rare_own"),
-    )
-    value = F.col("own") + F.coalesce("rare_own", F.lit(0.0))
-    return by_symbol.join(of_rare, "row", "left").select(
+    scored = encoded.mapInArrow(evaluate, "doc_id long, fold long, out_known long, out_base double, out_own double, n_tokens long, n_known long, base double, own double")
+    value = F.col("own") + F.col("out_own")
+    return scored.select(
         "doc_id",
         F.coalesce(F.col("fold") == held_out, F.lit(False)).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.col("out_known")).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        (F.col("base") + F.col("out_base")).alias("base_score"),
         value.alias("score"),
         F.pow(F.lit(10.0), -value / F.col("n_tokens")).alias("perplexity"),
     )

@@ -85,6 +85,45 @@ def test_brown(docs):
     assert brown.score(docs.limit(0)).count() == 0
 
 
+def test_brown_clusters_words_outside_the_head(spark, monkeypatch):
+    """Words of one group and equal counts, told apart by their neighbours alone."""
+    monkeypatch.setattr(brown, "HEAD", 4)
+    rng = np.random.default_rng(6)
+    rows = []
+    while len(rows) < 300:
+        rows.append((len(rows), " ".join(f"{'ab'[k % 2]}{rng.integers(12)}zz" for k in range(40))))
+    mixed = [f"a{k}zz b{k}zz" for k in range(12)]
+    apart = [f"a{k}zz" for k in range(12)] + [f"b{k}zz" for k in range(12)]
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], " ".join(mixed)), (held[1], " ".join(apart))]
+    got = {r.doc_id: r for r in brown.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), n_classes=4).collect()}
+    one, other = got[held[0]], got[held[1]]
+    assert one.held_out and other.held_out and one.n_known == other.n_known == 25
+    assert one.base_score == pytest.approx(other.base_score)
+    assert one.score > other.score + 5
+
+
+def test_brown_gains_are_exact():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 12, 3000)
+    classes = rng.integers(0, 4, 12)
+
+    def likelihood(c):
+        pairs = np.zeros((4, 4))
+        np.add.at(pairs, (c[x[:-1]], c[x[1:]]), 1)
+        return brown.xlogx(pairs).sum() - brown.xlogx(pairs.sum(0)).sum() - brown.xlogx(pairs.sum(1)).sum(), pairs
+
+    contexts = np.zeros((12, 9))
+    for p, q in zip(x[:-1], x[1:], strict=True):
+        contexts[p, classes[q]] += 1
+        contexts[q, 4 + classes[p]] += 1
+        contexts[p, 8] += p == q
+    got = brown.gains(likelihood(classes)[1], classes, contexts[:, :4], contexts[:, 4:8], contexts[:, 8])
+    for s in range(12):
+        want = [likelihood(np.where(np.arange(12) == s, b, classes))[0] for b in range(4)]
+        assert got[s] - got[s][classes[s]] == pytest.approx(np.array(want) - want[classes[s]], abs=1e-6)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 300, 40_000])
 def test_packed_sets_come_back(n):
     found = np.unique(np.random.default_rng(n).integers(0, 2**64, n, "u8"))
