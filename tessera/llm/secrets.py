@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +17,32 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Alphabets of the encodings that a candidate may be in, by code point order.
+#: Alphabets of the encodings that a candidate may be in, by code point order: it is
+#: taken to be in the first whose pattern it matches.
 ALPHABETS = {
+    "digits": "0123456789",
     "hex": "0123456789abcdef",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "lower32": "234567abcdefghijklmnopqrstuvwxyz",
     "base32": "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
 #: Under ordinary text, neighbours differ in kind (lower, upper, digit, other) this often at most.
 CHANGE = 0.12
+PATTERNS = {"digits": "[0-9]+", "hex": "(?:[0-9a-f]+|[0-9A-F]+)", "lower": "[a-z]+", "upper": "[A-Z]+", "lower32": "[2-7a-z]+", "base32": "[2-7A-Z]+", "lower36": "[0-9a-z]+", "base36": "[0-9A-Z]+", "letters": "[A-Za-z]+", "base62": "[0-9A-Za-z]+"}
+#: A model of ordinary text. Shares of a to z in words; what follows what among lower,
+#: upper, digit and other, the last row at the start; and vowels (first) and
+#: consonants after a vowel, a consonant, and what is no letter. An ordinary
+#: number is short: a digit follows a digit three times of four.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (82, 15, 30, 40, 125, 15, 20, 35, 72, 4, 9, 45, 28, 70, 70, 22, 4, 64, 66, 72, 34, 11, 13, 4, 14, 6), strict=True))
+FOLLOWS = ((0.85, 0.04, 0.03, 0.08), (0.35, 0.5, 0.05, 0.1), (0.05, 0.05, 0.75, 0.15), (0.5, 0.2, 0.2, 0.1), (0.6, 0.2, 0.15, 0.05))
+VOWELS = "aeiou"
+VOICES = ((0.15, 0.85), (0.55, 0.45), (0.4, 0.6))
 #: Bins of -ln p, so that a table of counts has a fixed size: BINS for each length class.
 BINS, STEP = 400, 0.25
 
@@ -58,6 +77,19 @@ def two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), poly * F.exp(-x * x))
 
 
+def emissions() -> list[float]:
+    """ln of the share of a to z, each among the vowels or the consonants."""
+    of = {v: sum(n for c, n in LETTERS.items() if (c in VOWELS) == v) for v in (True, False)}
+    return [math.log(n / of[c in VOWELS]) for c, n in LETTERS.items()]
+
+
+def transitions() -> list[float]:
+    """ln of the chance of each state after each, by seven: lower, upper (a vowel,
+    a consonant each), digit and other; and after the start, the last."""
+    states = ((0, 0), (0, 1), (1, 0), (1, 1), (2, None), (3, None))
+    return [math.log(FOLLOWS[kind][to] * (1 if voice is None else VOICES[2 if before is None else before][voice])) for kind, before in (*states, (4, None)) for to, voice in states]
+
+
 def fold(values: Column, step) -> Column:
     return F.aggregate(values, F.lit(0.0), step)
 
@@ -67,15 +99,28 @@ def battery(matches: Column) -> Column:
     ordinary text, and `even`, whether none of the tests rejects that it is a
     random string over the alphabet of its encoding.
 
+    The p-value is twice the less of two, each of which tightens with the length.
     Under ordinary text, the number of changes of character kind is binomial
-    with a rate of CHANGE at most, of which Chernoff's bound gives a p-value that
-    tightens with the length. The battery: chi-squared of the symbol counts with
+    with a rate of CHANGE at most, of which Chernoff's bound gives one. The other
+    is the chance of the string under the model of ordinary text, over its chance
+    as a random string of its encoding, all encodings being as likely: by Markov's
+    inequality ordinary text gets below p no more often than p. It finds keys of
+    letters or digits alone.
+
+The battery: chi-squared of the symbol counts with
     its exact multinomial moments, runs above and below the middle of the
     alphabet, and lag-one serial correlation; each at a third of 0.003.
     """
 
+    letters = F.lit("".join(LETTERS))
+    shares = F.lit(emissions())
+    follows = F.lit(transitions())
+
     def name(m: Column) -> Column:
-        return F.when(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(m.rlike("^[2-7A-Z]+$"), "base32").when(m.rlike("^[0-9A-Za-z]+$"), "base62").otherwise("base64")
+        out = F.lit("base64")
+        for kind, pattern in reversed(PATTERNS.items()):
+            out = F.when(m.rlike(f"^{pattern}$"), kind).otherwise(out)
+        return out
 
     def coded(m: Column) -> Column:
         body = F.rtrim(m["match"], F.lit("="))
@@ -90,6 +135,8 @@ def battery(matches: Column) -> Column:
             F.char_length(alphabet).cast("double").alias("k"),
             F.transform(chars, lambda c: F.position(c, alphabet).cast("double") - 1).alias("v"),
             F.transform(raw, lambda c: F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)).alias("kinds"),
+            F.transform(raw, lambda c: F.when(c.rlike("[aeiou]"), 0).when(c.rlike("[a-z]"), 1).when(c.rlike("[AEIOU]"), 2).when(c.rlike("[A-Z]"), 3).when(c.rlike("[0-9]"), 4).otherwise(5)).alias("states"),
+            fold(raw, lambda a, c: a + F.when(c.rlike("[A-Za-z]"), F.get(shares, F.position(F.lower(c), letters) - 1)).when(c.rlike("[0-9]"), -math.log(10)).otherwise(-math.log(5))).alias("emitted"),
         )
 
     # Each step's results are fields that the next step's lambdas read: Spark
@@ -104,6 +151,7 @@ def battery(matches: Column) -> Column:
             fold(F.array_distinct(v), lambda a, s: a + F.pow(F.size(F.filter(v, lambda y: y == s)).cast("double"), F.lit(2.0))).alias("squares"),
             F.transform(v, lambda y: (y > (x["k"] - 1) / 2).cast("int")).alias("high"),
             neighbours(x["kinds"], lambda p: F.when(p["a"] != p["b"], 1.0).otherwise(0.0)).alias("changes"),
+            (x["emitted"] + F.get(follows, 36 + F.get(x["states"], F.lit(0))) + neighbours(x["states"], lambda p: F.get(follows, 6 * p["a"] + p["b"]))).alias("ordinary"),
         )
 
     def neighbours(a: Column, step) -> Column:
@@ -112,7 +160,7 @@ def battery(matches: Column) -> Column:
 
     def measured(x: Column) -> Column:
         return F.struct(
-            *(x[c].alias(c) for c in ("start", "end", "k", "n", "squares", "changes")),
+            *(x[c].alias(c) for c in ("start", "end", "k", "n", "squares", "changes", "ordinary")),
             fold(x["high"], lambda a, y: a + y).alias("n1"),
             (1 + neighbours(x["high"], lambda p: F.when(p["a"] != p["b"], 1.0).otherwise(0.0))).alias("runs"),
             fold(x["v"], lambda a, y: a + (y - x["average"]) * (y - x["average"])).alias("power"),
@@ -131,6 +179,8 @@ def battery(matches: Column) -> Column:
         rate = x["changes"] / (n - 1)
         clipped = F.least(F.greatest(rate, F.lit(1e-9)), F.lit(1 - 1e-9))
         surprise = F.when(rate > CHANGE, (n - 1) * (clipped * F.log(clipped / CHANGE) + (1 - clipped) * F.log((1 - clipped) / (1 - CHANGE)))).otherwise(F.lit(0.0))
+        likelier = -n * F.log(k) - math.log(len(ALPHABETS)) - x["ordinary"]
+        surprise = F.greatest(F.greatest(surprise, likelier) - math.log(2), F.lit(0.0))
         even = (two_sided(z_chi) >= 0.001) & (two_sided(z_runs) >= 0.001) & (two_sided(z_serial) >= 0.001)
         return F.struct(
             x["start"].alias("start"),

@@ -60,6 +60,42 @@ def test_redaction_and_battery(spark):
     assert row.spans == "random:6:30,assign:66:88" and row.text == "🙂 key [SECRET] and incomprehensibilities_of_words [SECRET]"
 
 
+RECALL = {  # encoding -> (alphabet, length -> least share of planted keys found)
+    "lower36": ("0123456789abcdefghijklmnopqrstuvwxyz", {20: 0.8, 40: 0.9, 64: 0.9, 100: 0.9}),
+    "lower32": ("234567abcdefghijklmnopqrstuvwxyz", {20: 0.6, 40: 0.9, 64: 0.9, 100: 0.9}),
+    "base32": ("234567ABCDEFGHIJKLMNOPQRSTUVWXYZ", {20: 0.6, 40: 0.9, 64: 0.9, 100: 0.9}),
+    "digits": ("0123456789", {40: 0.9, 64: 0.9, 100: 0.9}),
+    "lower": ("abcdefghijklmnopqrstuvwxyz", {40: 0.8, 64: 0.9, 100: 0.9}),
+    "base62": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", {20: 0.9, 40: 0.9, 64: 0.9, 100: 0.9}),
+}
+
+
+def test_recall_of_planted_keys(spark):
+    rng = np.random.default_rng(8)
+    rows, case = [], {}
+    for name, (alphabet, lengths) in RECALL.items():
+        for n in lengths:
+            for _ in range(40):
+                case[len(rows)] = name, n
+                rows.append((len(rows), "see " + "".join(rng.choice(list(alphabet), n)) + " there"))
+    keys = len(rows)
+    words = "under standing inter national character counter revolution house water table people letter number market window garden reading system".split()
+    for k in range(1200):
+        rows.append((len(rows), "see " + "_- /"[k % 2].join(rng.choice(words, 4 + k % 9)) + " there"))
+    rows += [(len(rows) + k, f"see {x} there") for k, x in enumerate(("0" * 40, "1234567890" * 4, "-" * 50, "abcdefghijklmnopqrstuvwxyz" * 2, "the_quick_brown_fox_jumps_over", "20240101/20240102/20240103"))]
+    got = {r.doc_id: r for r in secrets.report(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    # Digits alone are hex already, a base kind.
+    hits = Counter(case[i] for i in range(keys) if got[i].spans)
+    shares = {c: hits[c] / 40 for c in case.values()}
+    assert all(shares[name, n] >= least for name, (_, lengths) in RECALL.items() for n, least in lengths.items()), shares
+    assert sum(got[i].n_random for i in range(keys, len(rows))) <= 0.02 * keys
+
+
+def test_ordinary_model_is_proper():
+    assert np.exp(np.array(secrets.transitions()).reshape(7, 6)).sum(1) == pytest.approx(1)
+    assert np.exp(secrets.emissions()).sum() == pytest.approx(2)
+
+
 def test_spotsigs(docs):
     got = {r.doc_id: r for r in spotsigs.fingerprints(docs).collect()}
     texts = [t or "" for t in TEXTS]
