@@ -37,3 +37,23 @@ def test_query(spark, duck, small, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
+
+
+def test_csv_copies_the_whole_table(spark, small, monkeypatch):
+    from tessera.sources import csv
+
+    copied = []
+    monkeypatch.setattr(csv, "copy_to", lambda rows, *a, f=csv.copy_to, **b: copied.append(f(rows, *a, **b)))
+    entry.queries()["csv_round_trip"](spark, small).count()
+    big = small.replace("sf0.001", "sf0.01")
+    entry.queries()["csv_round_trip"](spark, big).count()
+    assert copied == [spark.read.parquet(f"{d}/supplier.parquet").count() for d in (small, big)]
+
+
+def test_casts_and_set_operations_have_whole_forms(spark, small):
+    queries = entry.queries()
+    table = lambda name: spark.read.parquet(f"{small}/{name}.parquet")
+    assert queries["cast_forms_whole"](spark, small).count() == table("lineitem").count()
+    assert queries["set_union_all_whole"](spark, small).count() == table("customer").count() + table("supplier").count()
+    for op in ("union", "except", "except_all", "intersect", "intersect_all"):
+        assert f"set_{op}_whole" in queries
