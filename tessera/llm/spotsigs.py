@@ -155,7 +155,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has its last floor(n_chars / 4) code points replaced by the
     first as many (or all) of the next document's. near_edited and near_next are
     the likeness of the document's fingerprint to that of its edited text and of
-    the next document. Equal texts have equal fingerprints.
+    the next document, exact however small. Equal texts have equal fingerprints.
 
     A null text counts as empty, whose fingerprint is that of the empty set; two
     such are alike. Repeated rows come out each. An empty table gives no rows.
@@ -168,5 +168,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = with_signatures(texts.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), ("edited",))
     return sets.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        likeness(F.col("own"), F.col("edited"), 0.0).alias("near_edited"), likeness(F.col("own"), F.col("next_own"), 0.0).alias("near_next"),
     )

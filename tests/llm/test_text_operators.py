@@ -108,6 +108,12 @@ def test_spotsigs(docs):
     assert spotsigs.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_small_likeness_is_exact(spark):
+    text = lambda n: " ".join(f"the q{k} r{k} s{k}" for k in range(n))
+    got = {r.doc_id: r for r in spotsigs.fingerprints(spark.createDataFrame([(1, text(10)), (2, text(300))], "doc_id long, text string")).collect()}
+    assert 0.02 < got[1].near_next == got[2].near_next < 0.05
+
+
 def test_brown(docs):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(TEXTS))}
     words = {i: WORD.findall(lower(t)) + [None] for i, t in enumerate(TEXTS)}
