@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import forget, partitions_of, remembered
+from tessera.llm.shared import forget, partitions_of, remembered, slices
 
 #: Characters whose class is beyond doubt, by kind: letters, numbers, others. A text with anything else is left to the library whole.
 _KINDS = {k: "".join(c for c in map(chr, range(33, 0x250)) if unicodedata.category(c)[0] in k) for k in ("L", "N", "MPS")}
@@ -88,10 +88,9 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def pieces_of(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, so that what is made of each stays small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def pieces_of(batch: pa.RecordBatch, rows: int = 500, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, bounded by rows and by bytes of text, so that what is made of each stays small."""
+    yield from slices(batch, limit, *(k for k, f in enumerate(batch.schema) if f.type in (pa.string(), pa.binary())), rows=rows)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, as_list: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
