@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import connected_components, store
 
-#: Vectors that the pivots are fitted on, taken by the order of hashed ids.
-SAMPLE = 4096
+#: Vectors for each pivot, SAMPLE at least, that the pivots are fitted on, taken by the order of hashed ids; and pivots at most.
+PER_PIVOT, SAMPLE = 4, 4096
+PIVOTS = 4096
 #: Rows on either side of a tile at most, in the mean.
 TILE = 4096
 #: Pivots closer than this are one: many are drawn from copies of a single vector.
@@ -50,7 +51,12 @@ def distances(rows: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.sqrt(((rows - to) ** 2).sum(1))
 
 
-def places(unit: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def spread(pivots: np.ndarray) -> np.ndarray:
+    """The distances between all pivots."""
+    return np.stack([distances(pivots, p) for p in pivots])
+
+
+def places(unit: np.ndarray, pivots: np.ndarray, radius: float, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The home cell of each vector, and a mask of the cells below it that may
     hold the home of a vector within `radius`: those whose bisector with the home
     pivot is no farther than that.
@@ -59,9 +65,9 @@ def places(unit: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndar
     step at most, and is 0 or less at the partner. It's compared without dividing:
     pivots that are all but equal are guests of each other by the last term, which
     covers rounding."""
-    square = ((unit[:, None, :] - pivots[None]) ** 2).sum(2) if len(pivots) * unit.size < 4e6 else np.maximum(0, 1 + (pivots**2).sum(1) - 2 * unit @ pivots.T)
+    apart = spread(pivots) if apart is None else apart
+    square = (pivots**2).sum(1) - 2 * unit @ pivots.T
     home = square.argmin(1)
-    apart = np.stack([distances(pivots, p) for p in pivots])
     beyond = square - square[np.arange(len(unit)), home][:, None]
     return home, (beyond <= 2 * apart[home] * (radius + 1e-7) + 1e-9) & (np.arange(len(pivots)) < home[:, None])
 
@@ -121,8 +127,8 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", per_cell: int = 4000) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept.
 
-    Pivots from a bounded sample (`SAMPLE` rows) split the unit sphere into
-    cells of about `per_cell` vectors. A vector is a guest of every lower cell
+    Pivots from a bounded sample (PER_PIVOT rows for each, SAMPLE at least) split
+    the unit sphere into cells of about `per_cell` vectors, PIVOTS cells at most. A vector is a guest of every lower cell
     that a partner could be at home in; the bisector bound makes that exact, so
     no pair within reach is lost whatever the pivots are. Home and guest rows of
     a cell fall into blocks of at most `TILE` rows or so, and each pair of blocks
@@ -134,31 +140,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     Null, empty, zero or non-finite vectors, and rows without an id, link with
     nothing (component_id is the own id). Vectors of different lengths aren't
     compared. Repeated rows come out each; n_links counts the linked rows under
-    other ids, over all rows of the own id.
+    other ids, over all rows of the own id. An empty table gives no rows; other
+    columns are ignored.
     """
     spark = vectors.sparkSession
-    # A broken vector becomes null here; x - x is 0 for finite x alone.
-    parts = F.transform(F.col(vector_col), lambda x: x.cast("float"))
+    # Floats stay floats, where they are compact; everything else is taken in double precision.
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    code = "f4" if kind == "float" else "f8"
+    parts = F.transform(F.col(vector_col), lambda x: x.cast(kind))
     sound = F.coalesce(F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(parts, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, parts).alias("v"))
     usable = rows.where("v is not null and id is not null").withColumn("dim", F.size("v"))
     counts = {r.dim: r.n for r in usable.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     pivots: dict[int, np.ndarray] = {}
     for dim, n in counts.items():
-        k = int(min(256, n // per_cell))
+        k = int(min(PIVOTS, n // per_cell))
         if k > 1:
-            sample = usable.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+            sample = usable.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, PER_PIVOT * k)).select("v").toArrow()
             pivots[dim] = fit_pivots(_unit(np.stack(sample.column(0).to_numpy())), k)
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        apart = {dim: spread(p) for dim, p in pivots.items()}
+        for batch in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
             for dim in set(batch.column(2).to_pylist()):
                 own = batch.filter(pc.equal(batch.column(2), dim))
-                data = np.stack(own.column(1).to_numpy(zero_copy_only=False)).astype("f4")
+                data = np.stack(own.column(1).to_numpy(zero_copy_only=False)).astype(code)
                 ids = own.column(0).to_numpy(zero_copy_only=False)
                 if dim in pivots:
-                    home, near = places(_unit(data), pivots[dim], radius)
+                    home, near = places(_unit(data), pivots[dim], radius, apart[dim])
                     guest, cell = np.nonzero(near)
                 else:
                     home, guest, cell = np.zeros(len(ids), int), np.zeros(0, int), np.zeros(0, int)
@@ -168,7 +178,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
 
     dealt = store(usable.select("id", "v", "dim").mapInArrow(deal, "dim int, cell int, home boolean, id long, v binary"), "vectors")
     sizes = dealt.groupBy("dim", "cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / TILE).cast("int").alias("nh"), F.ceil(F.sum((~F.col("home")).cast("int")) / TILE).cast("int").alias("ng"))
-    # One row for each cell, of which there are 256 for a vector length at most.
+    # One row for each cell, of which there are PIVOTS for a vector length at most.
     blocked = dealt.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("block", F.when(F.col("home"), F.pmod(F.xxhash64("id"), F.col("nh"))).otherwise(F.pmod(F.xxhash64("id"), F.col("ng"))).cast("int"))
     # A home block meets the home blocks from itself on, and every guest block.
     tiles = F.when(
@@ -185,7 +195,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         dim, _, a, b = key
         first = group.own.to_numpy() == a
         ids = group.id.to_numpy()
-        unit = _unit(np.frombuffer(b"".join(group.v), "f4").reshape(-1, dim))
+        unit = _unit(np.frombuffer(b"".join(group.v), code).reshape(-1, dim))
         if a == b:
             i, j = tile_links(unit, unit, True, threshold)
         else:
@@ -205,8 +215,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         return pd.DataFrame({"id": ids[hit], "n": n[hit].astype("i8"), "root": ids[order[label[rank[hit]]]]})
 
     links = store(grouped.groupBy("dim", "cell", "a", "b").applyInPandas(compare, "id long, n long, root long"), "vector-links")
-    components = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    totals = links.groupBy("id").agg(F.sum("n").alias("n_links")).join(components, "id", "left")
+    found = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    totals = links.groupBy("id").agg(F.sum("n").alias("n_links")).join(found, "id", "left")
     component = F.coalesce("component", "id")
     return (
         rows.select("id")
