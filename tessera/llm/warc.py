@@ -19,6 +19,8 @@ from tessera.llm.tokens import pieces_of
 
 ENTRY = "urlkey string, captured long, page_id long, digest string, payload_bytes long, record_type string, archive string, offset long, length long"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, captured long, archive string, offset long, sound boolean"
+#: Of the years 1 to 9999, in epoch seconds: a record can state no other date.
+LEAST_TIME, MOST_TIME = -62135596800, 253402300799
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -54,7 +56,7 @@ def record(page_id: int | None, url: str | None, captured: int | None, payload:
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
     if url is not None:
         head.append(f"WARC-Target-URI: {one_line(url)}")
-    if captured is not None:
+    if captured is not None and LEAST_TIME <= captured <= MOST_TIME:
         head.append(f"WARC-Date: {datetime.fromtimestamp(captured, UTC):%Y-%m-%dT%H:%M:%SZ}")
     head += [f"WARC-Payload-Digest: sha256:{digest}"]
     head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"] * revisit
@@ -184,40 +186,57 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20)
     return store(pages.select("page_id", "url", "captured", "payload", "digest", "refers_to").mapInArrow(write, ENTRY), "warc-runs")
 
 
+#: Entries of the index in a range partition, in the mean.
+RANGE = 200_000
+
+
+def natural_runs(keys: list) -> list[range]:
+    """The maximal ascending stretches of `keys`."""
+    cuts = [0, *(i for i in range(1, len(keys)) if keys[i] < keys[i - 1]), len(keys)]
+    return [range(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+
+
 def merge_runs(index: DataFrame) -> DataFrame:
     """The entries of all runs in global order of (urlkey, captured, page_id), with
     `position`, each entry's place in it.
 
-    A range partition takes its segment of every run, of which sampling keeps
-    the sizes alike; the key ends in the archive and offset, so one URL's
-    captures may span partitions. A loser tree merges the segments."""
+    A range partition of some RANGE entries takes its segment of every run; the
+    key ends in the archive and offset, so one URL's captures may span
+    partitions. A shuffle brings a segment in the run's order: what ascends is a
+    run already, nothing is sorted again, and a loser tree merges the runs of a
+    partition, however they were cut."""
     key = ("urlkey", "captured", "page_id", "archive", "offset")
     kinds = f"{ENTRY}, part int, place long"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), schema_of(ENTRY))
-        if not table.num_rows:
-            return
         columns = [table.column(c).to_pylist() for c in key]
+        # Nulls first, as Spark orders them.
         keys = [(u, t is not None, t or 0, p is not None, p or 0, a, o) for u, t, p, a, o in zip(*columns, strict=True)]
-        runs: dict[str, list] = {}
-        for i, k in enumerate(keys):
-            runs.setdefault(k[5], []).append((k, i))
-        for run in runs.values():  # a shuffle keeps a run's order; if ever it doesn't, nearly-sorted input is cheap to mend
-            run.sort()
-        order = pa.array([i for _, i in LoserTree(runs[name] for name in sorted(runs))])
-        merged = table.take(order)
-        n, part = merged.num_rows, TaskContext.get().partitionId()
-        merged = merged.append_column("part", pa.array(np.full(n, part, "i4"))).append_column("place", pa.array(np.arange(n, dtype="i8")))
-        yield from merged.to_batches(max_chunksize=10_000)
+        part, place, order = TaskContext.get().partitionId(), 0, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            n = len(order)
+            merged = table.take(pa.array(order)).append_column("part", pa.array(np.full(n, part, "i4"))).append_column("place", pa.array(np.arange(place, place + n)))
+            yield from merged.combine_chunks().to_batches()
+
+        for _, i in LoserTree(((keys[i], i) for i in run) for run in natural_runs(keys)):
+            order.append(i)
+            if len(order) == 10_000:
+                yield from out()
+                place, order = place + len(order), []
+        if order:
+            yield from out()
 
     spark = index.sparkSession
-    ordered = store(index.repartitionByRange(partitions_of(spark), *key).mapInArrow(merge, kinds), "warc-index")
+    ranges = max(partitions_of(spark), -(-index.count() // RANGE))
+    ordered = store(index.repartitionByRange(ranges, *key).mapInArrow(merge, kinds), "warc-index")
     before, total = [], 0
     for part, n in sorted(ordered.groupBy("part").agg(F.count("*")).collect()):
         before.append((part, total))
         total += n
     offsets = spark.createDataFrame(before, "part int, base long")
+    # A row for each range partition.
     return ordered.join(F.broadcast(offsets), "part").withColumn("position", F.col("base") + F.col("place")).drop("part", "place", "base")
 
 
@@ -253,7 +272,9 @@ def read_archives(spark: SparkSession, index: DataFrame, folder: str) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     names = index.select("archive").distinct()
-    return names.repartition(partitions_of(spark), "archive").mapInArrow(read, READ)
+    # A task for each archive: one task deals the names, one for ARCHIVE bytes, out
+    # in turn. By a number alone, adaptive execution leaves the tasks as they are.
+    return names.coalesce(1).repartition(max(1, names.count())).mapInArrow(read, READ)
 
 
 def archive_and_read(pages: DataFrame, least_bytes: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None, archive_bytes: int = 64 << 20) -> DataFrame:
@@ -263,11 +284,12 @@ def archive_and_read(pages: DataFrame, least_bytes: int = 100, id_col: str = "pa
 
     A null html is an empty payload. Rows without an id are never originals;
     rows that share the smallest id of a payload are responses all. Without
-    `time_col` (epoch seconds) captures follow each other by id, a second apart.
+    `time_col` (epoch seconds) captures follow each other by id, a second apart;
+    times beyond the years 1 to 9999 stand in the index and not in the record.
     An empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
-    captured = F.col(time_col).cast("long") if time_col else F.lit(1704067200) + F.abs(F.col(id_col)) % 1_000_000_000
+    captured = F.col(time_col).cast("long") if time_col else F.lit(1704067200) + F.pmod(F.col(id_col).cast("long"), F.lit(1_000_000_000))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), captured.alias("captured"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     folder = new_path(spark, "warc")
     index = write_archives(with_originals(rows, least_bytes), folder, archive_bytes)
