@@ -46,14 +46,27 @@ def chains(own: Column, flags: Column) -> Column:
     return F.filter(F.transform(own, chain), lambda x: x.isNotNull())
 
 
-def numbered(ordered: Column) -> Column:
-    """32 bits for each element of a sorted array, in which the k-th occurrences of
-    a signature are told apart: sets of these compare as multisets. Only repeats
-    look up where their run starts."""
-    return F.transform(
-        ordered,
-        lambda h, i: F.shiftrightunsigned(F.when((i > 0) & (F.get(ordered, i - 1) == h), F.xxhash64(h, (i + 1 - F.array_position(ordered, h)).cast("int"))).otherwise(F.xxhash64(h, F.lit(0))), 32),
-    )
+def without(own: Column, flags: Column) -> Column:
+    """The words that aren't flagged."""
+    return F.filter(own, lambda w, i: ~F.get(flags, i))
+
+
+def first_of_runs(ordered: Column) -> Column:
+    """Where each run of equal elements of a sorted array begins."""
+    return F.filter(F.transform(ordered, lambda h, i: F.when((i > 0) & (F.get(ordered, i - 1) == h), -1).otherwise(i)), lambda i: i >= 0)
+
+
+def numbered(ordered: Column, first: Column) -> Column:
+    """32 bits for each element of a sorted array whose runs begin at `first`: the
+    k-th occurrences of a signature are told apart, so that sets of these compare
+    as multisets."""
+
+    def run(at: Column, j: Column) -> Column:
+        h = F.get(ordered, at)
+        last = F.coalesce(F.get(first, j + 1), F.size(ordered)) - at - 1
+        return F.when(last == 0, F.array(F.xxhash64(h, F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(h, k)))
+
+    return F.transform(F.flatten(F.transform(first, run)), lambda h: F.shiftrightunsigned(h, 32))
 
 
 def trigrams(text: Column) -> Column:
@@ -73,7 +86,7 @@ def with_signatures(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     name = lambda c, part: F.col(f"{c}__{part}")
     rows = rows.withColumns({f"{c}__words": words(F.col(c)) for c in columns})
     rows = rows.withColumns({f"{c}__flags": F.transform(name(c, "words"), is_anchor) for c in columns})
-    rows = rows.withColumns({f"{c}__content": F.filter(name(c, "words"), lambda w: ~is_anchor(w)) for c in columns})
+    rows = rows.withColumns({f"{c}__content": without(name(c, "words"), name(c, "flags")) for c in columns})
     rows = rows.withColumns({f"{c}__spots": F.concat(spots(name(c, "words"), name(c, "flags"), name(c, "content")), chains(name(c, "words"), name(c, "flags"))) for c in columns})
     none = F.array().cast("array<bigint>")
     few = lambda a, n, more: F.when(F.size(a) < n, more).otherwise(none)
@@ -86,8 +99,9 @@ def with_signatures(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
         for c in columns
     }
     rows = rows.withColumns({f"{c}__sorted": F.array_sort(found[c]) for c in columns})
-    rows = rows.withColumns({c: F.array_sort(F.array_distinct(numbered(name(c, "sorted")))) for c in columns})
-    return rows.drop(*(f"{c}__{part}" for c in columns for part in ("words", "flags", "content", "spots", "sorted")))
+    rows = rows.withColumns({f"{c}__first": first_of_runs(name(c, "sorted")) for c in columns})
+    rows = rows.withColumns({c: F.array_sort(F.array_distinct(numbered(name(c, "sorted"), name(c, "first")))) for c in columns})
+    return rows.drop(*(f"{c}__{part}" for c in columns for part in ("words", "flags", "content", "spots", "sorted", "first")))
 
 
 def length_class(signature_set: Column) -> Column:
