@@ -6,31 +6,35 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import forget
+from tessera.llm.shared import forget, fresh
 from tessera.llm.tokens import pieces_of
 
 ORDERS = (1, 2, 3, 4)
-#: Odd multipliers of the bytes of an n-gram.
+#: Odd multipliers of the characters of an n-gram.
 MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917, 668265263], "u4")
 CHUNK = 4096
+#: Bytes of text at a time.
+PIECE = 1 << 18
+BITS = 16
+#: Labels that a model takes at most: its matrix has 2^BITS floats for each, 128 MB in all.
+LANGUAGES = 512
 UNDETERMINED = "und"
 
 
 def grams(texts: list[str], bins: int) -> tuple[Iterator[np.ndarray], np.ndarray, int]:
-    """For each order, the bin of the n-gram at every byte of the lower-cased
+    """For each order, the bin of the n-gram at every character of the lower-cased
     texts (`bins` itself where it would run into the next text); and where each
-    text starts among the bytes."""
-    raw = [x.lower().encode() for x in texts]
-    starts = np.cumsum([0] + [len(x) + 1 for x in raw])[:-1]
-    data = np.frombuffer(b"\0".join(raw) + b"\0" * max(ORDERS), "u1").astype("u4")
+    text starts among the characters."""
+    low = [x.lower() for x in texts]
+    starts = np.cumsum([0] + [len(x) + 1 for x in low])[:-1]
+    data = np.frombuffer(("\0".join(low) + "\0" * max(ORDERS)).encode("utf-32-le"), "<u4")
     n = len(data) - max(ORDERS) + 1
     zero = np.flatnonzero(data == 0)
-    left = zero[np.searchsorted(zero, np.arange(n))] - np.arange(n)  # bytes before the text ends
+    left = zero[np.searchsorted(zero, np.arange(n))] - np.arange(n)  # characters before the text ends
     shift = np.uint32(32 - int(bins).bit_length() + 1)
 
     def of() -> Iterator[np.ndarray]:
@@ -59,62 +63,78 @@ class Model:
         total = np.tile(self.prior, (len(texts), 1))
         for found in by_order:
             for k in range(len(self.languages)):
-                total[:, k] += np.add.reduceat(self.weights[k][found], starts, dtype="f8")
+                total[:, k] += np.add.reduceat(self.weights[:, k][found], starts, dtype="f8")
         best = total.argmax(1)
         with np.errstate(under="ignore"):
             share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         return best, share
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", alpha: float = 0.05, bits: int = 16) -> Model | None:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", alpha: float = 0.05, bits: int = BITS) -> Model | None:
     """Learn from every row of `labelled` that has a text and a label; None
-    without such rows. The driver gets bins x languages counts: `bits` falls
-    where there are more than 64 languages, so that they stay below 2^22."""
+    without such rows. The driver gets 2^bits counts for each label; more than
+    LANGUAGES labels are an error."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    docs = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    docs = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).take(LANGUAGES + 1)}
     if not docs:
         return None
+    if len(docs) > LANGUAGES:
+        raise ValueError(f"{label_col} has more than {LANGUAGES} values")
     languages = sorted(docs)
     place = {x: i for i, x in enumerate(languages)}
-    bins = 1 << max(8, min(bits, 22 - max(6, (len(languages) - 1).bit_length())))
+    bins = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        totals = np.zeros((len(languages), bins + 1), "i8")
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in pieces_of(batch):
-                by_order, starts, n = grams(part.column(0).to_pylist(), bins)
+            for part in pieces_of(batch, limit=PIECE):
                 langs = np.array([place[x] for x in part.column(1).to_pylist()])
-                at = np.repeat(langs, np.diff(np.r_[starts, n])) * (bins + 1)
-                for found in by_order:
-                    totals += np.bincount(at + found, minlength=totals.size).reshape(totals.shape)
-        for k in np.flatnonzero(totals.any(1)):
+                for k in np.unique(langs).tolist():
+                    total = totals.setdefault(k, np.zeros(bins + 1, "i8"))
+                    by_order, _, _ = grams(part.column(0).filter(pa.array(langs == k)).to_pylist(), bins)
+                    for found in by_order:
+                        total += np.bincount(found, minlength=bins + 1)
+        for k, total in totals.items():
             for c in range(0, bins, CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c], pa.int32()), pa.array([totals[k, c : min(c + CHUNK, bins)].tobytes()])], names=["lang", "chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c], pa.int32()), pa.array([total[c : min(c + CHUNK, bins)].tobytes()])], names=names)
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "i8") for x in group.counts)
-        return pd.DataFrame({"lang": group.lang[:1], "chunk": group.chunk[:1], "counts": [total.tobytes()]})
-
-    kinds = "lang int, chunk int, counts binary"
-    counts = np.zeros((len(languages), bins))
-    for k, c, blob in rows.mapInArrow(count, kinds).groupBy("lang", "chunk").applyInPandas(add, kinds).collect():
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One row after the other, so that a task holds the sums alone.
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for k, c, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = np.frombuffer(blob.as_py(), "i8")
+                totals[k, c] = totals[k, c] + x if (k, c) in totals else x
+        for (k, c), x in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c], pa.int32()), pa.array([x.tobytes()])], names=names)
+
+    names, kinds = ["lang", "chunk", "counts"], "lang int, chunk int, counts binary"
+    sums: dict[int, int] = {}
+    weights = np.zeros((bins + 1, len(languages)), "f4")
+    for k, c, blob in rows.mapInArrow(count, kinds).repartition("lang", "chunk").mapInArrow(add, kinds).collect():
         x = np.frombuffer(blob, "i8")
-        counts[k, c : c + len(x)] = x
-    weights = np.log(counts + alpha) - np.log(counts.sum(1, keepdims=True) + alpha * bins)
+        weights[c : c + len(x), k] = np.log(x + alpha)
+        sums[k] = sums.get(k, 0) + int(x.sum())
+    for k in range(len(languages)):
+        weights[:bins, k] -= np.log(sums.get(k, 0) + alpha * bins)
     n = np.array([docs[x] for x in languages], float)
-    return Model(languages, bins, np.c_[weights, np.zeros(len(languages))].astype("f4"), np.log((n + 1) / (n.sum() + len(n))))
+    return Model(languages, bins, weights, np.log((n + 1) / (n.sum() + len(n))))
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The `keep` columns, doc_id, lang_pred and score of every row, from whole texts.
 
-    The log-probability matrix is broadcast (at most 2^22 floats); each batch is
-    scored by gathers and segment sums in numpy. A null text, or one without a
+    The log-probability matrix is broadcast (LANGUAGES columns at most); each
+    batch is scored by gathers and segment sums in numpy. A null text, or one without a
     letter, is `und` with score 0, as is every text if there is no model. score:
     the posterior probability of lang_pred. Of equally likely languages the
-    first by name is taken. Repeated rows come out each.
+    first by name is taken. Repeated rows, and rows without an id, come out each;
+    an empty table gives no rows. `keep` must not name doc_id, lang_pred or score;
+    other columns are ignored.
     """
+    if clash := {"doc_id", "lang_pred", "score"} & {c.lower() for c in keep}:
+        raise ValueError(f"keep: {sorted(clash)} are columns of the result")
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
@@ -122,7 +142,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         forget()
         m = sent.value
         for batch in batches:
-            for rows in pieces_of(batch):
+            for rows in pieces_of(batch, limit=PIECE):
                 texts = rows.column(rows.num_columns - 1).to_pylist()
                 lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 usable = [i for i, x in enumerate(texts) if x is not None]
@@ -134,7 +154,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     # Java's \p{L} decides what a letter is; a text without any reaches Python as null.
     lettered = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c) for c in keep), lettered.alias("__text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c) for c in keep), lettered.alias(fresh(docs)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(predict, f"{fields}, lang_pred string, score double")
 
