@@ -30,11 +30,13 @@ ALPHABETS = {
     "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base64": "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
+    "base64": "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base64url": "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
+    "mixed": "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
 #: Under ordinary text, neighbours differ in kind (lower, upper, digit, other) this often at most.
 CHANGE = 0.12
-PATTERNS = {"digits": "[0-9]+", "hex": "(?:[0-9a-f]+|[0-9A-F]+)", "lower": "[a-z]+", "upper": "[A-Z]+", "lower32": "[2-7a-z]+", "base32": "[2-7A-Z]+", "lower36": "[0-9a-z]+", "base36": "[0-9A-Z]+", "letters": "[A-Za-z]+", "base62": "[0-9A-Za-z]+"}
+PATTERNS = {"digits": "[0-9]+", "hex": "(?:[0-9a-f]+|[0-9A-F]+)", "lower": "[a-z]+", "upper": "[A-Z]+", "lower32": "[2-7a-z]+", "base32": "[2-7A-Z]+", "lower36": "[0-9a-z]+", "base36": "[0-9A-Z]+", "letters": "[A-Za-z]+", "base62": "[0-9A-Za-z]+", "base64": "[0-9A-Za-z+/]+", "base64url": "[0-9A-Za-z_-]+"}
 #: A model of ordinary text. Shares of a to z in words; what follows what among lower,
 #: upper, digit and other, the last row at the start; and vowels (first) and
 #: consonants after a vowel, a consonant, and what is no letter. An ordinary
@@ -47,21 +49,47 @@ VOICES = ((0.15, 0.85), (0.55, 0.45), (0.4, 0.6))
 BINS, STEP = 400, 0.25
 
 
+#: Elements of an array that a fold builds up at a time.
+STRIDE = 128
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with `value` evaluated once: Spark evaluates an expression inside a lambda for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def built(items: Column, first: Column, item: str, step) -> Column:
+    """An array of what `step(state, x)` gives, a struct of `state` and `item`, for
+    each x of `items` in turn from the state `first` on. A fold that appends
+    copies what it has each time: it is done by strides, so that the time is in
+    proportion to the length but for its square over STRIDE^2."""
+    empty = F.expr(f"cast(array() as array<{item}>)")
+
+    def fold_one(state: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(state.alias("state"), empty.alias("out")), lambda acc, x: let(step(acc["state"], x), lambda y: F.struct(y["state"].alias("state"), F.concat(acc["out"], F.array(y["item"])).alias("out"))))
+
+    def all_parts(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / STRIDE).cast("int")), lambda k: F.slice(x, k * STRIDE + 1, STRIDE))
+        nested = F.expr(f"cast(array() as array<array<{item}>>)")
+        whole = F.aggregate(parts, F.struct(first.alias("state"), nested.alias("out")), lambda acc, part: let(fold_one(acc["state"], part), lambda y: F.struct(y["state"].alias("state"), F.concat(acc["out"], F.array(y["out"])).alias("out"))))
+        return F.flatten(whole["out"])
+
+    return F.when(F.size(items) > 0, let(items, all_parts)).otherwise(empty)
+
+
 def find(text: Column, pattern: str) -> Column:
     """array<struct<start, match>>: the leftmost non-overlapping matches, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,match:string>>")
-    # What stands before match i: gaps 0..i and matches 0..i-1.
-    walk = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("match")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["match"]), F.lit(0))).alias("at"),
-            F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.char_length(x["gap"])).alias("start"), x["match"].alias("match"))))).alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(pattern), walk).otherwise(empty)
+    kind = "struct<start:int,match:string>"
+
+    # A match stands behind its gap; the last gap has none.
+    def step(at: Column, x: Column) -> Column:
+        start = at + F.char_length(x["gap"])
+        return F.struct((start + F.coalesce(F.char_length(x["match"]), F.lit(0))).alias("state"), F.struct(start.alias("start"), x["match"].alias("match")).alias("item"))
+
+    walk = F.filter(built(F.arrays_zip(gaps.alias("gap"), found.alias("match")), F.lit(0), kind, step), lambda m: m["match"].isNotNull())
+    return F.when(text.rlike(pattern), walk).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
 
 
 def spans_of(matches: Column, kind: int) -> Column:
@@ -77,6 +105,13 @@ def two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), poly * F.exp(-x * x))
 
 
+def combined(*p: Column) -> Column:
+    """Cauchy's combination of p-values."""
+    # Near 0, the tangent's pole is 1 / (pi p), and the arctangent's tail likewise.
+    score = sum(F.tan((0.5 - F.least(F.greatest(x, F.lit(1e-15)), F.lit(1 - 1e-6))) * math.pi) for x in p) / len(p)
+    return F.when(score > 1e6, 1 / (score * math.pi)).otherwise(0.5 - F.atan(score) / math.pi)
+
+
 def emissions() -> list[float]:
     """ln of the share of a to z, each among the vowels or the consonants."""
     of = {v: sum(n for c, n in LETTERS.items() if (c in VOWELS) == v) for v in (True, False)}
@@ -95,21 +130,22 @@ def fold(values: Column, step) -> Column:
 
 
 def battery(matches: Column) -> Column:
-    """For each candidate: start, end, length class, the bin of its p-value under
-    ordinary text, and `even`, whether none of the tests rejects that it is a
-    random string over the alphabet of its encoding.
-
-    The p-value is twice the less of two, each of which tightens with the length.
-    Under ordinary text, the number of changes of character kind is binomial
-    with a rate of CHANGE at most, of which Chernoff's bound gives one. The other
-    is the chance of the string under the model of ordinary text, over its chance
-    as a random string of its encoding, all encodings being as likely: by Markov's
-    inequality ordinary text gets below p no more often than p. It finds keys of
-    letters or digits alone.
-
-The battery: chi-squared of the symbol counts with
-    its exact multinomial moments, runs above and below the middle of the
-    alphabet, and lag-one serial correlation; each at a third of 0.003.
+    """For each candidate: start, end, length class, and two bins of p-values,
+    `uneven` and `bin`.
+
+    The battery tests that a candidate is a random string over the alphabet of its
+    encoding: chi-squared of the symbol counts with its exact multinomial moments,
+    runs above and below the middle of the alphabet, and lag-one serial
+    correlation. Cauchy's combination of the three, which holds however they
+    depend on each other, is one p-value: `uneven` is its bin.
+
+    `bin` is that of the p-value under ordinary text: twice the less of two, each
+    of which tightens with the length. Under ordinary text, the number of changes
+    of character kind is binomial with a rate of CHANGE at most, of which
+    Chernoff's bound gives one. The other is the chance of the string under the
+    model of ordinary text, over its chance as a random string of its encoding,
+    all encodings being as likely: by Markov's inequality ordinary text gets
+    below p no more often than p. It finds keys of letters or digits alone.
     """
 
     letters = F.lit("".join(LETTERS))
@@ -117,7 +153,7 @@ The battery: chi-squared of the symbol counts with
     follows = F.lit(transitions())
 
     def name(m: Column) -> Column:
-        out = F.lit("base64")
+        out = F.lit("mixed")
         for kind, pattern in reversed(PATTERNS.items()):
             out = F.when(m.rlike(f"^{pattern}$"), kind).otherwise(out)
         return out
@@ -181,31 +217,35 @@ The battery: chi-squared of the symbol counts with
         surprise = F.when(rate > CHANGE, (n - 1) * (clipped * F.log(clipped / CHANGE) + (1 - clipped) * F.log((1 - clipped) / (1 - CHANGE)))).otherwise(F.lit(0.0))
         likelier = -n * F.log(k) - math.log(len(ALPHABETS)) - x["ordinary"]
         surprise = F.greatest(F.greatest(surprise, likelier) - math.log(2), F.lit(0.0))
-        even = (two_sided(z_chi) >= 0.001) & (two_sided(z_runs) >= 0.001) & (two_sided(z_serial) >= 0.001)
         return F.struct(
             x["start"].alias("start"),
             x["end"].alias("end"),
             F.floor(F.log2(n)).cast("int").alias("length"),
             F.least(F.floor(surprise / STEP), F.lit(BINS - 1)).cast("int").alias("bin"),
-            even.alias("even"),
+            F.least(F.floor(-F.log(combined(two_sided(z_chi), two_sided(z_runs), two_sided(z_serial))) / STEP), F.lit(BINS - 1)).cast("int").alias("uneven"),
         )
 
     long_enough = F.filter(F.transform(matches, coded), lambda x: F.size(x["v"]) >= 20)
     return F.transform(F.transform(F.transform(long_enough, summed), measured), tested)
 
 
-def thresholds(scanned: DataFrame, rate: float) -> dict[int, int]:
-    """length class -> the least bin at which its candidates are reported, by
-    Benjamini and Hochberg's rule at `rate` within the class, over all documents.
-    The driver gets a row for each class that has a discovery: some 30 at most."""
+def thresholds(scanned: DataFrame, rate: float) -> dict[str, dict[int, int]]:
+    """For `uneven` and `bin`: length class -> the least bin at which its candidates
+    are discoveries, by Benjamini and Hochberg's rule at `rate` within the class,
+    over all documents. The driver gets a row for each class that has a
+    discovery: some 60 at most."""
     from pyspark.sql import Window
 
-    counts = scanned.select(F.explode("candidates").alias("c")).groupBy("c.length", "c.bin").agg(F.count("*").alias("n"))
-    by_length = Window.partitionBy("length")
-    ranked = counts.select("length", "bin", F.sum("n").over(by_length.orderBy(F.col("bin").desc())).alias("rank"), F.sum("n").over(by_length).alias("m"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"c.{k}").alias("bin")) for k in ("uneven", "bin"))))
+    counts = scanned.select(F.explode("candidates").alias("c")).select("c.length", kinds.alias("k")).groupBy("length", "k.kind", "k.bin").agg(F.count("*").alias("n"))
+    within = Window.partitionBy("length", "kind")
+    ranked = counts.select("length", "kind", "bin", F.sum("n").over(within.orderBy(F.col("bin").desc())).alias("rank"), F.sum("n").over(within).alias("m"))
     # A bin's largest p-value is exp(-bin * STEP).
     passing = ranked.where(F.exp(-F.col("bin") * STEP) <= F.lit(rate) * F.col("rank") / F.col("m"))
-    return {r.length: r.bin for r in passing.groupBy("length").agg(F.min("bin").alias("bin")).collect()}
+    out: dict[str, dict[int, int]] = {"uneven": {}, "bin": {}}
+    for r in passing.groupBy("length", "kind").agg(F.min("bin").alias("bin")).collect():
+        out[r.kind][r.length] = r.bin
+    return out
 
 
 def scan(docs: DataFrame, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -213,32 +253,38 @@ def scan(docs: DataFrame, rate: float = 0.01, id_col: str = "doc_id", text_col:
     struct<start, kind, end> sorted by start and kind (an index of KINDS), in code
     points of the whole text.
 
-    Base kinds are pattern matches. The method adds `random` spans: runs of 20 or
-    more characters of the usual encodings that the battery finds even and whose
-    p-value under ordinary text passes false-discovery control at `rate` within
-    their length class; runs that overlap a base span are not repeated.
+    Base kinds are pattern matches. The method adds `random` spans, from runs of 20
+    or more characters of the usual encodings, by two false-discovery controls at
+    `rate` within their length class: the candidates whose randomness the combined
+    battery rejects go, and of the p-values under ordinary text those that pass
+    are reported. Runs that overlap a base span are not repeated.
 
-    A null text counts as empty and has no spans. Repeated rows come out each. An
-    empty table gives no rows.
+    A null text counts as empty and has no spans. Rows without an id and repeated
+    rows come out each. An empty table gives no rows. `keep` must not name doc_id
+    or found; other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, text.alias("__text"))
-    matches = rows.select("doc_id", *keep, *(find(F.col("__text"), p).alias(n) for n, p in (("__a", ASSIGN), ("__k", ACCESS), ("__h", HEX), ("__c", CANDIDATE))))
+    if clash := {"doc_id", "found"} & {c.lower() for c in keep}:
+        raise ValueError(f"keep: {sorted(clash)} are columns of the result")
+    # Names inside, whatever the documents' columns are called.
+    kept = {c: f"kept_{i}" for i, c in enumerate(keep)}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(k) for c, k in kept.items()), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    matches = rows.select("doc_id", *kept.values(), *(find(F.col("text"), p).alias(n) for n, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("coded", CANDIDATE))))
     base = F.array_sort(
         F.concat(
-            spans_of(F.filter("__a", lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 2)) >= 12), 0),
-            spans_of(F.filter("__k", lambda m: F.char_length(m["match"]) >= 18), 1),
-            spans_of(F.col("__h"), 2),
+            spans_of(F.filter("assign", lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 2)) >= 12), 0),
+            spans_of(F.filter("access", lambda m: F.char_length(m["match"]) >= 18), 1),
+            spans_of(F.col("hex"), 2),
         )
     )
-    scanned = store(matches.select("doc_id", *keep, base.alias("base"), battery(F.col("__c")).alias("candidates")), "scanned")
+    scanned = store(matches.select("doc_id", *kept.values(), base.alias("base"), battery(F.col("coded")).alias("candidates")), "scanned")
     least = thresholds(scanned, rate)
     passing = F.filter(
         "candidates",
-        lambda c: c["even"] & F.coalesce(c["bin"] >= _limit(c["length"], least), F.lit(False)) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
+        lambda c: ~F.coalesce(c["uneven"] >= _limit(c["length"], least["uneven"]), F.lit(False)) & F.coalesce(c["bin"] >= _limit(c["length"], least["bin"]), F.lit(False)) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
     )
     added = F.transform(passing, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    return scanned.select("doc_id", *keep, F.array_sort(F.concat("base", added)).alias("found"))
+    found = scanned.select("doc_id", *kept.values(), F.array_sort(F.concat("base", added)).alias("spans"))
+    return found.select("doc_id", *(F.col(k).alias(c) for c, k in kept.items()), F.col("spans").alias("found"))
 
 
 def _limit(length: Column, least: dict[int, int]) -> Column:
@@ -263,13 +309,12 @@ def report(found: DataFrame) -> DataFrame:
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """`text` with every span, or run of overlapping spans, replaced by `mask`."""
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    walked = F.aggregate(
-        spans,
-        empty,
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"))
-        ),
-    )
-    rest = F.concat(walked["out"], text.substr(walked["at"] + 1, F.char_length(text)))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+    # What stands before each span that starts behind all before it, and the mask; null for the others.
+    def step(at: Column, s: Column) -> Column:
+        out = F.when(s["start"] >= at, F.concat(text.substr(at + 1, s["start"] - at), F.lit(mask)))
+        return F.struct(F.greatest(at, s["end"]).alias("state"), out.alias("item"))
+
+    parts = F.filter(built(spans, F.lit(0), "string", step), lambda x: x.isNotNull())
+    rest = text.substr(F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.char_length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
