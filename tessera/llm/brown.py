@@ -7,26 +7,32 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import remove, store
+from tessera.llm.shared import forget, remove, store
 from tessera.llm.tokens import pieces_of
 
 #: Words with LEAST or more occurrences are clustered by themselves; fewer say too
-#: little about a word's class. Those of them with at least one of HEAD training
-#: tokens, HEAD at most and no longer than LONGEST bytes, are known to every
-#: worker; the others, in a table of any size, get their symbols by a join.
+#: little about a word's class. The most frequent of them, HEAD at most and no
+#: longer than LONGEST bytes, are known to every worker; the others, in a table of
+#: any size, get their symbols by a join. The model is the same either way.
 HEAD = 1 << 19
 LEAST = 5
+#: Symbols, the most frequent ones, whose contexts a task adds up in a table: 32 MB.
+DENSE = 1 << 16
+#: Partial counts of a block that are added up by one task.
+PARTS = 16
 #: All other words enter the clustering by the group of their last two bytes.
 GROUPS = 1024
 LONGEST = 64
 CLASSES = 32
-SWEEPS = 6
+#: Sweeps, each over half of the symbols, end when two in turn move less than
+#: SETTLED of all tokens, or after SWEEPS.
+SWEEPS = 8
+SETTLED = 0.05
 BLOCK = 2048
 #: Weight of the class unigrams in a transition, and a symbol's additive count.
 TRANSITION, EMISSION = 10.0, 0.1
@@ -135,49 +141,67 @@ def small(classes: np.ndarray) -> np.ndarray:
     return classes.astype(np.min_scalar_type(int(classes.max(initial=0))))
 
 
+def packed(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending places and their counts: gaps and counts by byte planes, of which all but the lowest are nearly empty."""
+    planes = np.stack([np.diff(at, prepend=0).astype("<u8"), counts.astype("<u8")]).view("u1").reshape(-1, 8).T
+    return len(at).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    planes = np.frombuffer(pa.decompress(blob[4:], 16 * n, "zstd", asbytes=True), "u1").reshape(8, 2 * n)
+    gaps, counts = np.ascontiguousarray(planes.T).view("<i8").reshape(2, n)
+    return np.cumsum(gaps), counts
+
+
 def contexts(training: DataFrame, classes: np.ndarray, n_classes: int, dense: int) -> DataFrame:
-    """(block, counts) summed over all `training` symbols, as int64 bytes: for each
+    """The stored (block, counts), summed over all `training` symbols: for each
     block of BLOCK symbols the classes that follow, the classes before, and the
     symbol's own repeats; block -1 holds the class bigrams. A document's first
     token follows an end.
 
     A task adds up the `dense` first symbols, a multiple of BLOCK, in a table, and
-    sends what it finds of others some million tokens at a time."""
-    blocks = dense // BLOCK
-    sent = training.sparkSession.sparkContext.broadcast(small(classes))
+    sends what it finds of others some million tokens at a time, all without
+    zeros. A block's partial counts are added up one after the other, in two
+    levels where there are more than PARTS tasks, so no task meets them all."""
+    spark = training.sparkSession
+    sent = spark.sparkContext.broadcast(small(classes))
     width = 2 * n_classes + 1
+    names, kinds = ["block", "task", "counts"], "block int, task int, counts binary"
+
+    def rows(task: int, blocks: list[int], counts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([task] * len(blocks), pa.int32()), pa.array(counts, pa.binary())], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = sent.value
-        total = np.zeros((blocks * BLOCK, width), "i8")
+        forget()
+        cls, task = sent.value, TaskContext.get().partitionId()
+        flat = np.zeros(dense * width, "u4")
         pairs = np.zeros(n_classes * n_classes, "i8")
         held, n = [], 0
-        names = ["block", "at", "counts"]
 
         def add() -> pa.RecordBatch | None:
             x = np.concatenate(held).astype("i8")
             prev = np.r_[0, x[:-1]]  # every document ends in symbol 0
             a, b = cls[prev].astype("i8"), cls[x].astype("i8")
             pairs[:] += np.bincount(a * n_classes + b, minlength=len(pairs))
-            flat = total.reshape(-1)
             rest = []
             for key in (prev * width + b, x * width + n_classes + a, x[x == prev] * width + 2 * n_classes):
                 low = key < len(flat)
-                flat += np.bincount(key[low], minlength=len(flat))
+                np.add.at(flat, key[low], np.uint32(1))
                 rest.append(key[~low])
             key, counts = np.unique(np.concatenate(rest), return_counts=True)
             if not len(key):
                 return None
             block, at = np.divmod(key, BLOCK * width)
             start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            parts = [(at[i:j].astype("i4").tobytes(), counts[i:j].astype("i4").tobytes()) for i, j in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(block[start].astype("i4")), pa.array([p[0] for p in parts]), pa.array([p[1] for p in parts])], names=names)
+            parts = [packed(at[i:j], counts[i:j]) for i, j in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True)]
+            return rows(task, block[start].tolist(), parts)
 
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 held.append(np.frombuffer(blob, "i4"))
                 n += len(held[-1])
-                if n > 2_000_000:
+                if n > 1_000_000:
                     out = add()
                     held, n = [], 0
                     if out is not None:
@@ -186,21 +210,65 @@ def contexts(training: DataFrame, classes: np.ndarray, n_classes: int, dense: in
             out = add()
             if out is not None:
                 yield out
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.arange(len(pairs), dtype="i4").tobytes()]), pa.array([pairs.tobytes()])], names=names)
-        for k in range(blocks):
-            own = total[k * BLOCK : (k + 1) * BLOCK].reshape(-1)
+        if pairs.any():
+            yield rows(task, [-1], [packed(np.arange(len(pairs)), pairs)])
+        for k in range(dense // BLOCK):
+            own = flat[k * BLOCK * width : (k + 1) * BLOCK * width]
             at = np.flatnonzero(own)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype("i4").tobytes()]), pa.array([own[at].tobytes()])], names=names)
+                yield rows(task, [k], [packed(at, own[at])])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, block, total = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if k != block:
+                    if block is not None:
+                        at = np.flatnonzero(total)
+                        yield rows(task, [block], [packed(at, total[at])])
+                    block, total = k, np.zeros(n_classes * n_classes if k < 0 else BLOCK * width, "i8")
+                at, counts = unpacked(blob.as_py())
+                total[at] += counts
+        if block is not None:
+            at = np.flatnonzero(total)
+            yield rows(task, [block], [packed(at, total[at])])
+
+    parts = training.select("symbols").mapInArrow(count, kinds)
+    groups = -(-training.rdd.getNumPartitions() // PARTS)
+    if groups > 1:
+        parts = parts.repartition("block", F.col("task") % groups).sortWithinPartitions("block").mapInArrow(merge, kinds)
+    out = store(parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, kinds).select("block", "counts"), "contexts")
+    sent.destroy()
+    return out
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        block = int(group.block.iloc[0])
-        out = np.zeros(n_classes * n_classes if block < 0 else BLOCK * width, "i8")
-        for at, counts in zip(group["at"], group.counts, strict=True):
-            out[np.frombuffer(at, "i4")] += np.frombuffer(counts, "i8" if len(counts) > len(at) else "i4")
-        return pd.DataFrame({"block": [block], "counts": [out.tobytes()]})
 
-    return training.select("symbols").mapInArrow(count, "block int, at binary, counts binary").groupBy("block").applyInPandas(merge, "block int, counts binary")
+def class_bigrams(training: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    """The class bigrams of all `training` symbols: a row of n_classes^2 counts from each task, summed by class in SQL."""
+    sent = training.sparkSession.sparkContext.broadcast(small(classes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, pairs = sent.value, np.zeros(n_classes * n_classes, "i8")
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                c = cls[np.frombuffer(blob, "i4")].astype("i8")
+                pairs += np.bincount(np.r_[cls[0], c[:-1]] * n_classes + c, minlength=len(pairs))
+        at = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pairs[at])], names=["at", "n"])
+
+    out = np.zeros(n_classes * n_classes, "i8")
+    for r in training.select("symbols").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r.n
+    sent.destroy()
+    return out.reshape(n_classes, n_classes)
+
+
+def bigrams(stored: DataFrame, n_classes: int) -> np.ndarray:
+    """The class bigrams among what `contexts` stored."""
+    out = np.zeros(n_classes * n_classes, "i8")
+    for r in stored.where("block = -1").collect():
+        at, counts = unpacked(bytes(r.counts))
+        out[at] = counts
+    return out.reshape(n_classes, n_classes)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -237,17 +305,19 @@ def gains(pairs: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndar
 
 
 def exchange(stored: DataFrame, classes: np.ndarray, n_classes: int, sweep: int) -> tuple[np.ndarray, int]:
-    """Move half of the symbols, alternately, to their best classes."""
-    (pairs,) = (np.frombuffer(r.counts, "i8").reshape(n_classes, n_classes) for r in stored.where("block = -1").collect())
-    sent = stored.sparkSession.sparkContext.broadcast((pairs, small(classes)))
+    """Move half of the symbols, alternately, to their best classes; and the tokens that moved."""
+    sent = stored.sparkSession.sparkContext.broadcast((bigrams(stored, n_classes), small(classes)))
     width = 2 * n_classes + 1
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, cls = sent.value
         for batch in batches:
-            for block, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = np.frombuffer(blob, "i8").reshape(BLOCK, width)
-                symbols, best = [], []
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = np.zeros(BLOCK * width, "i8")
+                at, counts = unpacked(blob.as_py())
+                rows[at] = counts
+                rows = rows.reshape(BLOCK, width)
+                symbols, best, tokens = [], [], []
                 there = np.flatnonzero(rows.any(1))
                 there = there[(block * BLOCK + there).astype("u8") * 2654435761 % 4294967296 >> 31 == sweep % 2]
                 for i in range(0, len(there), 256):
@@ -258,12 +328,34 @@ def exchange(stored: DataFrame, classes: np.ndarray, n_classes: int, sweep: int)
                     moves = value[k, b] > value[k, own] + 1e-6
                     symbols += (block * BLOCK + part[moves]).tolist()
                     best += b[moves].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.int32()), pa.array(best, pa.int32())], names=["symbol", "class"])
+                    # A symbol follows as often as it occurs.
+                    tokens += rows[part[moves], n_classes:-1].sum(1).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.int32()), pa.array(best, pa.int8()), pa.array(tokens, pa.int64())], names=["symbol", "class", "tokens"])
 
-    moved = stored.where("block >= 0").repartition("block").mapInArrow(choose, "symbol int, class int").toArrow()
+    moved = stored.where("block >= 0").repartition("block").mapInArrow(choose, "symbol int, class byte, tokens long").toArrow()
+    sent.destroy()
     out = classes.copy()
     out[moved.column(0).to_numpy()] = moved.column(1).to_numpy()
-    return out, moved.num_rows
+    return out, int(moved.column(2).to_numpy().sum())
+
+
+def head_of(counted: DataFrame) -> tuple[list[bytes], np.ndarray, int]:
+    """The words known to every worker, their counts, and the least count among
+    them: as many whole steps of counts, of a sixteenth of an octave, as hold HEAD
+    words."""
+    able = counted.where((F.col("n") >= LEAST) & (F.length("word") <= LONGEST))
+    step = F.floor(16 * F.log2(F.col("n").cast("double"))).cast("int")
+    least, held = 1 << 62, 0
+    # A row for each step: a thousand at most.
+    for r in sorted(able.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r.step):
+        held += r.words
+        if held > HEAD:
+            break
+        least = r.least
+    found = able.where(F.col("n") >= least).toArrow()
+    words, n = found.column("word").to_pylist(), found.column("n").to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
+    return [words[i] for i in order], n[order], least
 
 
 def score(docs: DataFrame, folds: int = 7, held_out: int = 2, n_classes: int = CLASSES, sweeps: int = SWEEPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,23 +391,23 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, n_classes: int = C
     words, types = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = words + ends, types + (ends > 0)
 
-    is_head = (F.col("n") * HEAD >= total) & (F.col("n") >= LEAST) & (F.length("word") <= LONGEST)
-    # HEAD words of LONGEST bytes at most.
-    heads = sorted(counted.where(is_head).collect(), key=lambda r: (-r.n, bytes(r.word)))
-    head = [bytes(r.word) for r in heads]
+    head, head_counts, least = head_of(counted)
+    is_head = (F.col("n") >= least) & (F.length("word") <= LONGEST)
     sent_head = spark.sparkContext.broadcast(head)
     group = (F.crc32(F.substring("word", -2, 2)) % GROUPS).cast("int")
     # Symbols: 0, the head, the groups; from a whole block on, the other clustered words.
     first = len(head) + 1 + GROUPS
-    dense = -(-first // BLOCK) * BLOCK
-    tail, n_tail = numbered(counted.where(~is_head & (F.col("n") >= LEAST)).select("word", "n"), dense)
+    beyond = -(-first // BLOCK) * BLOCK
+    dense = min(beyond, DENSE)
+    tail, n_tail = numbered(counted.where(~is_head & (F.col("n") >= LEAST)).select("word", "n"), beyond)
     rare = counted.where(~is_head & (F.col("n") < LEAST)).select("word", "n", group.alias("grp"))
     in_group = np.zeros((GROUPS, 2), "i8")
     for r in rare.groupBy("grp").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         in_group[r.grp] = r.n, r.v
-    count = np.r_[ends, [r.n for r in heads], in_group[:, 0]].astype("i8")
+    count = np.r_[ends, head_counts, in_group[:, 0]].astype("i8")
 
     coded = store(encode(rows, sent_head), "symbols")
+    sent_head.destroy()
     # GROUPS rows.
     sizes = F.broadcast(spark.createDataFrame([(g, n + v + 1) for g, (n, v) in enumerate(in_group.tolist())], "grp int, size long"))
     tokens = coded.select("row", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "t")).select("row", "place", F.col("t.words").alias("word"), F.col("t.counts").alias("tf"))
@@ -334,20 +426,21 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, n_classes: int = C
     remove(spark, coded.path)
     training = encoded.where(trains)
     order = np.argsort(-count, kind="stable")
-    classes = np.zeros(dense + n_tail, "i4")
+    classes = np.zeros(beyond + n_tail, "i4")
     classes[order] = np.arange(len(count)) % n_classes
-    classes[dense:] = np.arange(n_tail) % n_classes
+    classes[beyond:] = np.arange(n_tail) % n_classes
+    before = total + ends
     for sweep in range(sweeps):
-        stored = store(contexts(training, classes, n_classes, dense), "contexts")
+        stored = contexts(training, classes, n_classes, dense)
         classes, moved = exchange(stored, classes, n_classes, sweep)
         remove(spark, stored.path)
-        if not moved and sweep % 2:
+        if before + moved <= SETTLED * (total + ends):
             break
-    final = contexts(training, classes, n_classes, dense).where("block = -1").collect()
-    pairs = np.frombuffer(final[0].counts, "i8").reshape(n_classes, n_classes) if final else np.zeros((n_classes, n_classes))
+        before = moved
+    pairs = class_bigrams(training, classes, n_classes)
     # Every token, the end too, is the second of one bigram.
     of_class = pairs.sum(0)
-    members = np.bincount(classes[:first], minlength=n_classes) + np.bincount(classes[dense:], minlength=n_classes)
+    members = np.bincount(classes[:first], minlength=n_classes) + np.bincount(classes[beyond:], minlength=n_classes)
     unigram = (of_class + 1) / (of_class.sum() + n_classes)
     transition = np.log10((pairs + TRANSITION * unigram) / (pairs.sum(1, keepdims=True) + TRANSITION))
     emission = np.log10(count + EMISSION)
@@ -365,7 +458,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, n_classes: int = C
             for blob in batch.column(2).to_pylist():
                 x = np.frombuffer(blob, "i4")
                 c = classes[x]
-                low = x[x < dense]
+                low = x[x < beyond]
                 prev = np.r_[classes[0], c[:-1]]
                 out.append((len(x), int(known[low].sum()), float(base[low].sum()), float(transition[prev, c].sum() + emission[low].sum() - share[c].sum())))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
