@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import base64
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.dialect import closing, rewrite, tokens
+from tessera import dialect
+from tessera.dialect import closing, tokens
+from tessera.functions.table_functions import register_scalar, register_table
 from tessera.sources.csv import copy_from, copy_to
 from tessera.store import TableStore, scratch_folder
 from tessera.types import LogicalType, parse_type
 
-NAME = r"[A-Za-z_][\w]*"
+NAME = r"(?:[A-Za-z_]\w*|`\w+`|\"\w+\")"
+#: Buckets of a histogram, and frequent values of a column.
+HISTOGRAM, TOP = 32, 10
 
 
 class ConstraintError(ValueError):
@@ -29,8 +34,9 @@ class Database:
     own changes.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.store = spark, TableStore(spark, folder)
+    def __init__(self, spark: SparkSession, folder: str, compat: bool = False):
+        """compat: functions of null and division by zero as in `dialect.compat_forms`."""
+        self.spark, self.store, self.compat = spark, TableStore(spark, folder), compat
 
     @classmethod
     def scratch(cls, spark: SparkSession) -> Database:
@@ -41,6 +47,11 @@ class Database:
     def begin(self, isolation: str = "repeatable read") -> Transaction:
         return Transaction(self, isolation)
 
+    def load(self, name: str, f, returns: str) -> None:
+        """A function for this session's SQL: a class with `eval` is a table function,
+        which `TABLE(name(..))` reads; any other callable gets and gives pandas series."""
+        (register_table if isinstance(f, type) else register_scalar)(self.spark, name, f, returns)
+
     def checkpoint(self, folder: str) -> None:
         self.store.copy_to(folder)
 
@@ -97,17 +108,36 @@ class Transaction:
         ddl = ", ".join(f"`{c['name']}` {parse_type(c['type']).spark}" for c in entry["columns"])
         return self.spark.read.schema(ddl).parquet(entry["path"])
 
-    def query(self, text: str, **params) -> DataFrame:
-        """SELECT text in this package's dialect; `:name` parameters from `params`."""
+    def query(self, text: str, *args, **params) -> DataFrame:
+        """SELECT text in this package's dialect; `$1` is the first of `args`, `:name`
+        or `$name` a parameter of `params`. Tables and views are names of this
+        transaction alone: they are taken back from the session once the query is
+        resolved."""
         self._refresh()
-        for name in self.state["tables"]:
-            self.table(name).createOrReplaceTempView(name)
-        for name, view in self.state["views"].items():
-            rows = self.spark.sql(rewrite(view["sql"]))
-            if view["columns"]:
-                rows = rows.select(*rows.columns[: len(view["columns"])]).toDF(*view["columns"])
-            rows.createOrReplaceTempView(name)
-        return self.spark.sql(rewrite(text), args=params or None)
+        named = {x.lower().strip('`"') for x in tokens(text)}
+        # A view may name others, and those tables.
+        wanted, todo = set(), list(named)
+        while todo:
+            if (name := todo.pop()) not in wanted:
+                wanted.add(name)
+                if name in self.state["views"]:
+                    todo += [x.lower().strip('`"') for x in tokens(self.state["views"][name]["sql"])]
+        made = [name for name in self.state["tables"] if name in wanted]
+        try:
+            for name in made:
+                self.table(name).createOrReplaceTempView(name)
+            for name, view in self.state["views"].items():
+                if name not in wanted:
+                    continue
+                rows = dialect.run(self.spark, view["sql"], compat=self.db.compat)
+                if view["columns"]:
+                    rows = rows.select(*rows.columns[: len(view["columns"])]).toDF(*view["columns"])
+                made.append(name)
+                rows.createOrReplaceTempView(name)
+            return dialect.run(self.spark, text, params | {f"_{i}": x for i, x in enumerate(args, 1)}, self.db.compat)
+        finally:
+            for name in made:
+                self.spark.catalog.dropTempView(name)
 
     def show_tables(self) -> DataFrame:
         return self._strings("TABLE", sorted(self.state["tables"]))
@@ -131,21 +161,50 @@ class Transaction:
         return self._strings("PLAN", [plan])
 
     def analyze(self, name: str) -> DataFrame:
-        """For each column: rows, nulls, distinct values (HyperLogLog), least, largest, quartiles of numbers."""
+        """For each column: rows, nulls, distinct values (HyperLogLog), least, largest, an
+        equi-depth histogram of numbers (Greenwald and Khanna's quantiles), the most
+        frequent values, and a count-min sketch. One pass, and one more for the
+        frequent values; kept in the catalog, as `statistics` tells."""
         rows = self.table(name)
         out = []
         for c, kind in rows.dtypes:
             number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
-            x = F.col(c)
-            out.append(F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(x.isNull()).alias("nulls"), F.approx_count_distinct(x).alias("distinct"), F.min(x).cast("string").alias("least"), F.max(x).cast("string").alias("most"), (F.percentile_approx(x.cast("double"), [0.25, 0.5, 0.75]) if number else F.lit(None).cast("array<double>")).alias("quartiles")))
-        return rows.agg(F.array(*out).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+            x = F.col(f"`{c}`")
+            histogram = F.percentile_approx(x.cast("double"), [i / HISTOGRAM for i in range(1, HISTOGRAM)]) if number else F.lit(None).cast("array<double>")
+            sketch = F.base64(F.count_min_sketch(x.cast("string"), F.lit(0.001), F.lit(0.99), F.lit(7)))
+            out.append(F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(x.isNull()).alias("nulls"), F.approx_count_distinct(x).alias("distinct"), F.min(x).cast("string").alias("least"), F.max(x).cast("string").alias("most"), histogram.alias("histogram"), sketch.alias("sketch")))
+        found = [r.s.asDict() for r in rows.agg(F.array(*out).alias("s")).select(F.explode("s").alias("s")).collect()]
+        values = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in rows.columns)))
+        counted = rows.select(values.alias("v")).where("v.value is not null").groupBy("v.column", "v.value").agg(F.count("*").alias("n"))
+        # Each task keeps TOP of a column's values, then one for all: never all of a column's.
+        rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value"))
+        most: dict[str, list] = {}
+        for r in counted.withColumn("rank", rank).where(F.col("rank") <= TOP).orderBy("column", "rank").collect():
+            most.setdefault(r["column"], []).append([r.value, r.n])
+        for x in found:
+            x["frequent"] = most.get(x["column"], [])
+        self.state["tables"][name.lower()] = self._entry(name) | {"statistics": found}
+        self.touched.add(name.lower())
+        return self.statistics(name)
+
+    def statistics(self, name: str) -> DataFrame:
+        """What the last ANALYZE of the table found; no rows before."""
+        kept = self._entry(name).get("statistics", [])
+        rows = [(x["column"], x["rows"], x["nulls"], x["distinct"], x["least"], x["most"], x["histogram"], [tuple(y) for y in x["frequent"]], x["sketch"]) for x in kept]
+        return self.spark.createDataFrame(rows, "column string, rows long, nulls long, distinct long, least string, most string, histogram array<double>, frequent array<struct<value:string,n:long>>, sketch string")
+
+    def estimate(self, name: str, column: str, value) -> int:
+        """How often `column` holds `value`, at least, by the sketch of the last ANALYZE: too many by 0.1 % of the rows at most, in 99 of 100 cases."""
+        (sketch,) = (x["sketch"] for x in self._entry(name)["statistics"] if x["column"] == column.lower())
+        stream = self.spark._jvm.java.io.ByteArrayInputStream(base64.b64decode(sketch))
+        return self.spark._jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom(stream).estimateCount(str(value))
 
     # Writing
 
-    def _checked(self, entry: dict, rows: DataFrame) -> DataFrame:
+    def _checked(self, entry: dict, rows: DataFrame, report: bool = True) -> DataFrame:
         """`rows` with the table's columns and types; a value that doesn't fit is an error."""
         given = {c.lower(): c for c in rows.columns}
-        made, bad = [], []
+        made = []
         for c in entry["columns"]:
             kind: LogicalType = parse_type(c["type"])
             if c["name"] in given:
@@ -154,17 +213,23 @@ class Transaction:
                 value = F.expr(c["default"]) if c["default"] else F.lit(None)
             value = value.cast(kind.spark)
             made.append(value.alias(c["name"]))
+        out = rows.select(*made)
+        if report:
+            self._report(entry, out)
+        return out
+
+    def _report(self, entry: dict, out: DataFrame) -> None:
+        bad = []
+        for c in entry["columns"]:
             if not c["nullable"]:
-                bad.append((F.col(c["name"]).isNull(), f"{c['name']} is null"))
-            if (wrong := kind.violation(F.col(c["name"]))) is not None:
+                bad.append((F.col(f"`{c['name']}`").isNull(), f"{c['name']} is null"))
+            if (wrong := parse_type(c["type"]).violation(F.col(f"`{c['name']}`"))) is not None:
                 bad.append((wrong, f"{c['name']} does not fit {c['type']}"))
-        out = rows.select(*made)
         if bad:
             counts = out.agg(*(F.count_if(F.coalesce(b, F.lit(False))).alias(f"b{i}") for i, (b, _) in enumerate(bad))).first()
             for n, (_, what) in zip(counts, bad, strict=True):
                 if n:
                     raise ConstraintError(f"{n} rows: {what}")
-        return out
 
     def _unique(self, entry: dict, rows: DataFrame) -> None:
         keys = [[c["name"] for c in entry["columns"] if c["primary"]]] + [[c["name"]] for c in entry["columns"] if c["unique"]] + [i["columns"] for i in entry["indexes"].values() if i["unique"]]
@@ -173,13 +238,13 @@ class Transaction:
             if known.groupBy(*key).count().where("count > 1").take(1):
                 raise ConstraintError(f"duplicate key ({', '.join(key)})")
 
-    def _replace(self, name: str, rows: DataFrame, check: bool = True) -> None:
+    def _replace(self, name: str, rows: DataFrame, check: bool = True, unique: bool = False) -> None:
         entry = self._entry(name)
         if check:
             rows = self._checked(entry, rows)
         path = self.store.write(rows, name.lower())
         written = self.spark.read.schema(rows.schema).parquet(path)
-        if check:
+        if check or unique:
             self._unique(entry, written)
         self.state["tables"][name.lower()] = entry | {"path": path}
         self.touched.add(name.lower())
@@ -188,19 +253,28 @@ class Transaction:
         return [c["name"] for c in self._entry(name)["columns"] if c["primary"]]
 
     def insert(self, name: str, rows: DataFrame) -> int:
-        new = self._checked(self._entry(name), rows)
-        self._replace(name, self.table(name).unionByName(new))
+        new = self._stored(name, rows)
+        self._replace(name, self.table(name).unionByName(new), check=False, unique=True)
         return new.count()
 
     def upsert(self, name: str, rows: DataFrame) -> int:
         """Rows replace those of the same primary key (INSERT OVERWRITE)."""
-        new = self._checked(self._entry(name), rows)
-        self._replace(name, self.table(name).join(new, self._key(name), "left_anti").select(*new.columns).unionByName(new))
+        new = self._stored(name, rows)
+        self._replace(name, self.table(name).join(new, self._key(name), "left_anti").select(*new.columns).unionByName(new), check=False, unique=True)
         return new.count()
 
-    def update(self, name: str, values: dict[str, str | Column], where: str | Column | None = None, source: DataFrame | None = None, on: Column | None = None) -> int:
+    def _stored(self, name: str, rows: DataFrame) -> DataFrame:
+        """`rows` written once: what is checked, counted and added is the same, whatever made them."""
+        path = self.store.write(self._checked(self._entry(name), rows, report=False), name.lower())
+        written = self.spark.read.parquet(path)
+        self._report(self._entry(name), written)
+        return written
+
+    def update(self, name: str, values: dict[str, str | Column], where: str | Column | None = None, source: DataFrame | None = None, on: Column | None = None, how: str = "inner") -> int:
         """Set `values` in rows that match; with a `source`, in rows that join with it
-        under `on`, from the joined row. The old alias of the table is its name."""
+        under `on`, from the joined row: in a left join, rows of the table without
+        a partner too, from nulls. Of several partners the one that gives the least
+        values counts. The old alias of the table is its name."""
         old = self.table(name).alias(name)
         expr = lambda v: v if isinstance(v, Column) else F.expr(v)
         condition = F.lit(True) if where is None else expr(where)
@@ -210,21 +284,23 @@ class Transaction:
             count = old.where(hit).count()
             self._replace(name, old.select(*(F.when(hit, expr(values[c]).cast(t)).otherwise(F.col(f"`{c}`")).alias(c) if c in values else F.col(f"`{c}`") for c, t in old.dtypes)))
             return count
-        joined = old.join(source, on, "inner").where(condition)
-        changed = joined.select(*(F.col(f"{name}.{k}").alias(k) for k in key), *(expr(v).alias(f"__new_{c}") for c, v in values.items())).dropDuplicates(key).withColumn("__hit", F.lit(True))
+        joined = old.join(source, on, "left" if how in ("left", "full") else "inner").where(condition)
+        made = joined.select(*(F.col(f"{name}.{k}").alias(k) for k in key), F.struct(*(expr(v).alias(f"__new_{c}") for c, v in values.items())).alias("__new"))
+        changed = made.groupBy(*key).agg(F.min("__new").alias("__new")).select(*key, "__new.*").withColumn("__hit", F.lit(True))
         count = changed.count()
         both = self.table(name).join(changed, key, "left")
         self._replace(name, both.select(*(F.when(F.col("__hit"), F.col(f"__new_{c}").cast(t)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c, t in old.dtypes)))
         return count
 
-    def delete(self, name: str, where: str | Column | None = None, source: DataFrame | None = None, on: Column | None = None) -> int:
+    def delete(self, name: str, where: str | Column | None = None, source: DataFrame | None = None, on: Column | None = None, how: str = "inner") -> int:
+        """Remove rows that match; with a `source`, joined rows, as `update` joins them."""
         old = self.table(name).alias(name)
         condition = F.lit(True) if where is None else where if isinstance(where, Column) else F.expr(where)
         if source is None:
             kept = old.where(~F.coalesce(condition, F.lit(False)))
         else:
             key = self._key(name)
-            gone = old.join(source, on, "inner").where(condition).select(*(F.col(f"{name}.{k}").alias(k) for k in key)).distinct()
+            gone = old.join(source, on, "left" if how in ("left", "full") else "inner").where(condition).select(*(F.col(f"{name}.{k}").alias(k) for k in key)).distinct()
             kept = self.table(name).join(gone, key, "left_anti").select(*old.columns)
         before = old.count()
         self._replace(name, kept, check=False)
@@ -333,27 +409,31 @@ class Transaction:
         text = text.strip().rstrip(";").strip()
         for pattern, act in DDL:
             if m := re.fullmatch(pattern, text, re.I | re.S):
-                title, value = act(self, m.groupdict())
+                title, value = act(self, bare(m.groupdict()))
                 return self._strings(title, [value])
         raise ValueError(f"not a schema statement: {text[:60]}")
 
-    def run(self, text: str, **params) -> DataFrame:
+    def run(self, text: str, *args, **params) -> DataFrame:
         *first, text = statements(text)
         for x in first:
-            self._run(x, params)
-        return self._run(text, params)
+            self._run(x, args, params)
+        return self._run(text, args, params)
+
+    def rows(self, text: str, *args, **params) -> Iterator[Row]:
+        """The rows of a query one after the other, a partition on the driver at a time."""
+        return self.run(text, *args, **params).toLocalIterator()
 
     execute = run
 
-    def _run(self, text: str, params: dict) -> DataFrame:
+    def _run(self, text: str, args: tuple, params: dict) -> DataFrame:
         for pattern, _ in DDL:
             if re.fullmatch(pattern, text, re.I | re.S):
                 raise ValueError("schema statements go through ddl()")
         for pattern, act in DML:
             if m := re.fullmatch(pattern, text, re.I | re.S):
-                out = act(self, m.groupdict())
+                out = act(self, bare(m.groupdict()))
                 return out if isinstance(out, DataFrame) else self._strings(*[out[0], [out[1]]])
-        return self.query(text, **params)
+        return self.query(text, *args, **params)
 
     def _insert(self, g: dict) -> tuple[str, int]:
         names = [c["name"] for c in self._entry(g["t"])["columns"]]
@@ -381,11 +461,11 @@ class Transaction:
                 values[k.strip().rpartition(".")[2].lower()] = v.strip()
         values = {k: self._column(g["t"], k)["default"] or "null" if v.lower() == "default" else v for k, v in values.items()}
         source = self.table(g["src"]).alias(g["src"]) if g["src"] else None
-        return "UPDATED", self.update(g["t"], values, g["where"], source, F.expr(g["on"]) if g["on"] else None)
+        return "UPDATED", self.update(g["t"], values, g["where"], source, F.expr(g["on"]) if g["on"] else None, (g["how"] or "inner").lower())
 
     def _delete(self, g: dict) -> tuple[str, int]:
         source = self.table(g["src"]).alias(g["src"]) if g["src"] else None
-        return "DELETED", self.delete(g["t"], g["where"], source, F.expr(g["on"]) if g["on"] else None)
+        return "DELETED", self.delete(g["t"], g["where"], source, F.expr(g["on"]) if g["on"] else None, (g["how"] or "inner").lower())
 
     def _copy(self, g: dict) -> tuple[str, str]:
         options = {}
@@ -399,6 +479,11 @@ class Transaction:
         return "COPY TO TARGET", f"Copy To {g['path']} [{', '.join(rows.columns)}]"
 
 
+def bare(groups: dict) -> dict:
+    """Names without their quotes."""
+    return {k: v.strip('`"') if k in ("t", "n", "c", "src") and v else v for k, v in groups.items()}
+
+
 def split(text: str) -> list[str]:
     """Parts between commas that stand outside parentheses and quotes."""
     out, depth, now = [], 0, []
@@ -440,7 +525,7 @@ def column_of(text: str) -> dict:
         raise ValueError(f"not a column: {text}")
     rest = m["rest"].lower()
     default = re.search(r"default\s+('(?:[^']|'')*'|\S+)", m["rest"], re.I)
-    return {"name": m["name"].lower(), "type": parse_type(m["type"]).sql, "primary": "primary" in rest, "unique": "unique" in rest, "nullable": "not null" not in re.sub(r"\s+", " ", rest), "default": default[1] if default else None}
+    return {"name": m["name"].strip('`"').lower(), "type": parse_type(m["type"]).sql, "primary": "primary" in rest, "unique": "unique" in rest, "nullable": "not null" not in re.sub(r"\s+", " ", rest), "default": default[1] if default else None}
 
 
 def _create(t: Transaction, g: dict) -> tuple[str, str]:
@@ -464,7 +549,7 @@ def _alter(t: Transaction, g: dict) -> tuple[str, str]:
     what = g["what"].strip()
     rules = [
         (r"add\s+(?:column\s+)?(?P<ine>if\s+not\s+exists\s+)?(?P<def>.+)", lambda m: t.add_column(g["t"], column_of(m["def"]), bool(m["ine"]))),
-        (rf"drop\s+(?:column\s+)?(?P<ie>if\s+exists\s+)?(?P<c>{NAME})", lambda m: t.drop_column(g["t"], m["c"], bool(m["ie"]))),
+        (rf"drop\s+(?:column\s+)?(?P<ie>if\s+exists\s+)?(?P<c>{NAME})", lambda m: t.drop_column(g["t"], m["c"].strip('`"'), bool(m["ie"]))),
         (rf"rename\s+(?:column\s+)?(?P<c>{NAME})\s+to\s+(?P<n>{NAME})", lambda m: t.change_column(g["t"], m["c"], m["n"])),
         (rf"alter\s+(?:column\s+)?(?P<c>{NAME})\s+(?:set\s+data\s+)?type\s+(?P<k>.+)", lambda m: t.change_column(g["t"], m["c"], type=parse_type(m["k"]).sql)),
         (rf"alter\s+(?:column\s+)?(?P<c>{NAME})\s+set\s+default\s+(?P<v>.+)", lambda m: t.change_column(g["t"], m["c"], default=m["v"])),
@@ -475,7 +560,7 @@ def _alter(t: Transaction, g: dict) -> tuple[str, str]:
     ]
     for pattern, act in rules:
         if m := re.fullmatch(pattern, what, re.I | re.S):
-            act(m)
+            act(bare(m.groupdict()))
             return "ALTER TABLE SUCCESS", g["t"]
     raise ValueError(f"ALTER TABLE {what[:40]}")
 
@@ -495,9 +580,10 @@ DDL = [
 ]
 DML = [
     (rf"insert\s+(?P<over>overwrite\s+)?(?:into\s+)?(?P<t>{NAME})\s*(?:\((?P<cols>[^()]*)\))?\s*(?P<body>(?:values|select|with|\().*)", Transaction._insert),
-    (rf"update\s+(?P<t>{NAME})\s+(?:(?:inner\s+)?join\s+(?P<src>{NAME})\s+on\s+(?P<on>.+?)\s+)?set\s+(?P<sets>.+?)(?:\s+where\s+(?P<where>.+))?", Transaction._update),
-    (rf"delete\s+from\s+(?P<t>{NAME})(?:\s+(?:inner\s+)?join\s+(?P<src>{NAME})\s+on\s+(?P<on>.+?))?(?:\s+where\s+(?P<where>.+))?", Transaction._delete),
+    (rf"update\s+(?P<t>{NAME})\s+(?:(?:(?P<how>inner|left|right|full)\s+(?:outer\s+)?)?join\s+(?P<src>{NAME})\s+on\s+(?P<on>.+?)\s+)?set\s+(?P<sets>.+?)(?:\s+where\s+(?P<where>.+))?", Transaction._update),
+    (rf"delete\s+from\s+(?P<t>{NAME})(?:\s+(?:(?P<how>inner|left|right|full)\s+(?:outer\s+)?)?join\s+(?P<src>{NAME})\s+on\s+(?P<on>.+?))?(?:\s+where\s+(?P<where>.+))?", Transaction._delete),
     (rf"truncate\s+(?:table\s+)?(?P<t>{NAME})", lambda t, g: (t.truncate(g["t"]), ("TRUNCATE TABLE SUCCESS", g["t"]))[1]),
+    (rf"analyze\s+table\s+(?P<t>{NAME})", lambda t, g: t.analyze(g["t"])),
     (r"show\s+tables", lambda t, g: t.show_tables()),
     (r"show\s+views", lambda t, g: t.show_views()),
     (rf"(?:describe|desc)\s+(?:table\s+)?(?P<t>{NAME})", lambda t, g: t.describe(g["t"])),

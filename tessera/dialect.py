@@ -1,16 +1,23 @@
 """A small pre-pass over SQL text for what Spark's parser or defaults lack.
 
-Quantified comparisons become EXISTS: `x op ANY (q)` holds where some row
-compares true, `x op ALL (q)` where none compares false or unknown. Under NOT,
-the three-valued result asks for other tests, so the four forms are distinct.
-ORDER BY keys get NULLS LAST, in either direction, where they don't say.
+Quantified comparisons become a CASE over one row of the subquery: its count, its
+count of values, its least and its greatest value say whether `x op ANY (q)` and
+`x op ALL (q)` are true, false or unknown, wherever they stand. Where equality
+with any value is asked for, IN does it. ORDER BY keys get NULLS LAST, in either
+direction, where they don't say. `LIMIT m, n`, `$1`, `TABLE(f(..))` and block
+comments are read, LIKE has no escape character unless one is given, and under
+`compat` functions of null and division by zero follow the engine whose
+semantics this package offers rather than ANSI.
 """
 
 from __future__ import annotations
 
 import re
 
-TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|[A-Za-z_][\w$]*|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|<=>|<>|!=|<=|>=|\|\||::|\s+|.", re.S)
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+
+TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|\$\w+|[A-Za-z_][\w$]*|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|<=>|<>|!=|<=|>=|\|\||::|\s+|.", re.S)
 COMPARISONS = {"=", "<>", "!=", "<", "<=", ">", ">="}
 ENDS = {"limit", "offset", "union", "except", "intersect", "rows", "range", "fetch"}
 
@@ -31,31 +38,67 @@ def closing(parts: list[str], at: int) -> int:
 
 def solid(parts: list[str], at: int, step: int) -> int:
     """The next index from `at` that isn't white space or a comment."""
-    while 0 <= at < len(parts) and (parts[at].isspace() or parts[at].startswith("--")):
+    while 0 <= at < len(parts) and (parts[at].isspace() or parts[at].startswith(("--", "/*"))):
         at += step
     return at
 
 
+def opening(parts: list[str], at: int) -> int:
+    """The index of the parenthesis that the one at `at` closes."""
+    depth = 0
+    for i in range(at, -1, -1):
+        depth += (parts[i] == ")") - (parts[i] == "(")
+        if not depth:
+            return i
+    raise ValueError("unbalanced parentheses")
+
+
+NOT_FUNCTIONS = {"where", "and", "or", "not", "on", "when", "then", "else", "select", "having", "by", "in", "case", "between", "like", "from", "distinct", "all", "any", "some"}
+
+
+def primary_start(parts: list[str], end: int) -> int:
+    """Where the name, literal, call or parenthesised expression that ends at `end` begins."""
+    i = end
+    if parts[i] == ")":
+        i = opening(parts, i)
+        before = solid(parts, i - 1, -1)
+        if before >= 0 and re.fullmatch(r"[A-Za-z_]\w*", parts[before]) and parts[before].lower() not in NOT_FUNCTIONS:
+            i = before
+    while (before := solid(parts, i - 1, -1)) >= 0 and parts[before] == ".":
+        i = solid(parts, before - 1, -1)
+    return i
+
+
 def operand_start(parts: list[str], end: int) -> int:
     """Where the operand that ends at `end` begins: a name, literal, call or
     parenthesised expression, with arithmetic around such."""
-    i = end
-    while True:
-        if parts[i] == ")":
-            depth = 0
-            while True:
-                depth += (parts[i] == ")") - (parts[i] == "(")
-                if not depth:
-                    break
-                i -= 1
-            before = solid(parts, i - 1, -1)
-            if before >= 0 and re.fullmatch(r"[A-Za-z_]\w*", parts[before]) and parts[before].lower() not in {"where", "and", "or", "not", "on", "when", "select", "having"}:
-                i = before
-        before = solid(parts, i - 1, -1)
-        if before >= 0 and parts[before] in {".", "+", "-", "*", "/", "%", "||", "::"}:
-            i = solid(parts, before - 1, -1)
+    i = primary_start(parts, end)
+    while (before := solid(parts, i - 1, -1)) >= 0:
+        if parts[before] in {"+", "-", "*", "/", "%", "||", "::"}:
+            last = solid(parts, before - 1, -1)
+            # A sign rather than an operator stands behind another operator, a keyword or nothing.
+            if last < 0 or parts[last] in COMPARISONS | {"(", ",", "+", "-", "*", "/", "%"} or parts[last].lower() in NOT_FUNCTIONS:
+                return before
+            i = primary_start(parts, last)
+        else:
+            break
+    return i
+
+
+def clause(parts: list[str], at: int) -> str:
+    """The keyword that opens the part of the statement that `at` is in; `case` inside a CASE."""
+    depth = cases = 0
+    for i in range(at, -1, -1):
+        word = parts[i].lower()
+        depth += (word == ")") - (word == "(")
+        if depth > 0:
             continue
-        return i
+        cases += (word == "end") - (word == "case")
+        if cases < 0:
+            return "case"
+        if word in {"select", "where", "having", "on", "set", "by"}:
+            return word
+    return ""
 
 
 def quantified(parts: list[str]) -> list[str]:
@@ -70,34 +113,117 @@ def quantified(parts: list[str]) -> list[str]:
                 inner = "".join(quantified(parts[opened + 1 : close]))
                 end = solid(parts, op - 1, -1)
                 start = operand_start(parts, end)
-                negated, begin, finish = _negation(parts, start, close)
-                left, sign = "".join(parts[start : end + 1]).strip(), parts[op]
-                test = f"({left}) {sign} __q.__v"
-                every = word == "all"
-                held = {(False, False): test, (False, True): f"({test}) is not true", (True, False): f"({test}) is not false", (True, True): f"({test}) is false"}[negated, every]
-                exists = "exists" if every == negated else "not exists"
-                made = f"{exists} (select 1 from ({inner}) as __q(__v) where {held})"
-                parts = parts[:begin] + tokens(made) + parts[finish + 1 :]
-                at = begin + 2 + exists.count(" ") * 2
-                continue
+                before, after = solid(parts, start - 1, -1), solid(parts, close + 1, 1)
+                alone = parts[before].lower() in {"where", "and"} and (after >= len(parts) or parts[after].lower() in {"and", "group", "order", "limit", "having", ")", ";"})
+                made = comparison("".join(parts[start : end + 1]).strip(), parts[op], word == "all", inner, clause(parts, start), alone)
+                parts = [*parts[:start], made, *parts[close + 1 :]]
+                at = start
         at += 1
     return parts
 
 
-def _negation(parts: list[str], start: int, close: int) -> tuple[bool, int, int]:
-    """Whether NOT stands before the comparison, with or without parentheses around
-    it alone; and the range of parts that both take up."""
-    begin, finish = start, close
-    while True:
-        before, after = solid(parts, begin - 1, -1), solid(parts, finish + 1, 1)
-        if before >= 0 and after < len(parts) and parts[before] == "(" and parts[after] == ")":
-            begin, finish = before, after
-        else:
-            break
-    before = solid(parts, begin - 1, -1)
-    if before >= 0 and parts[before].lower() == "not":
-        return True, before, finish
-    return False, begin, finish
+def comparison(left: str, op: str, every: bool, inner: str, where: str, alone: bool) -> str:
+    """`left op ANY|ALL (inner)`, three-valued. `alone`: one of the conditions of a
+    WHERE that must all be true, where a semi join with one row will do for ANY."""
+    op = "<>" if op == "!=" else op
+    one = f"(select named_struct('n', count(*), 'm', count(__v), 'lo', min(__v), 'hi', max(__v)) from ({inner}) as __q(__v))"
+    n, m, lo, hi = (f"{one}.{x}" for x in ("n", "m", "lo", "hi"))
+    unknown = f"({left}) is null or {n} > {m}"
+    if op in ("=", "<>") and every == (op == "<>"):
+        # Some value equals, or none does: IN is a semi join, NOT IN an anti join that knows nulls.
+        if where in ("where", "having", "on"):
+            return f"(({left}) {'not ' * every}in ({inner}))"
+        return f"(case when {n} = 0 then {str(every).lower()} when ({left}) in ({inner}) then {str(not every).lower()} when {unknown} then null else {str(every).lower()} end)"
+    if op in ("=", "<>"):
+        # All values are one and the same, or not.
+        differs = f"({left}) <> {lo} or ({left}) <> {hi}"
+        return f"(case when {n} = 0 then {str(every).lower()} when {differs} then {str(not every).lower()} when {unknown} then null else {str(every).lower()} end)"
+    # One value decides: the hardest of all, or the easiest of any.
+    value = hi if (op[0] == ">") == every else lo
+    if alone and where == "where" and not every:
+        return f"exists (select 1 from (select {'min' if op[0] == '>' else 'max'}(__v) as __v from ({inner}) as __q(__v)) as __q where ({left}) {op} __q.__v)"
+    decided = f"not (({left}) {op} {value})" if every else f"({left}) {op} {value}"
+    return f"(case when {n} = 0 then {str(every).lower()} when {decided} then {str(not every).lower()} when {unknown} then null else {str(every).lower()} end)"
+
+
+def small_forms(parts: list[str]) -> list[str]:
+    """`LIMIT m, n`, `$1` and `$name`, `TABLE(f(..))`, LIKE without an escape character."""
+    out = list(parts)
+    for i, x in enumerate(out):
+        word = x.lower()
+        if re.fullmatch(r"\$\w+", x):
+            out[i] = f":_{x[1:]}" if x[1:].isdigit() else f":{x[1:]}"
+        elif word == "limit":
+            first = solid(out, i + 1, 1)
+            comma = solid(out, first + 1, 1)
+            last = solid(out, comma + 1, 1)
+            if last < len(out) and out[comma] == ",":
+                out[first], out[comma], out[last] = f"{out[last]} offset {out[first]}", "", ""
+        elif word == "table":
+            before, opened = solid(out, i - 1, -1), solid(out, i + 1, 1)
+            if before >= 0 and out[before].lower() in {"from", "join", ","} and opened < len(out) and out[opened] == "(":
+                close = closing(out, opened)
+                name, inside = solid(out, opened + 1, 1), solid(out, opened + 2, 1)
+                if out[inside] == "(" and closing(out, inside) == solid(out, close - 1, -1):
+                    out[i] = out[opened] = out[close] = ""
+                    if out[name].lower() == "numbers":
+                        args = "".join(out[inside + 1 : closing(out, inside)])
+                        for k in range(name, close):
+                            out[k] = ""
+                        out[i] = f"(select cast(id as int) as number from range({args}))"
+        elif word in {"like", "ilike"}:
+            pattern = solid(out, i + 1, 1)
+            after = solid(out, pattern + 1, 1)
+            if pattern < len(out) and out[pattern].startswith("'") and (after >= len(out) or out[after].lower() not in {"escape", "||"}):
+                # A control character that no pattern has.
+                out[pattern] = f"{out[pattern]} escape '{chr(1)}'"
+    return out
+
+
+COMPAT_LENGTHS = {"char_length", "character_length", "octet_length"}
+
+
+def compat_forms(parts: list[str]) -> list[str]:
+    """Lengths and positions of null are 0; x / 0 is infinite, 0 / 0 NaN."""
+    out, i = list(parts), 0
+    while i < len(out):
+        word, opened = out[i].lower(), solid(out, i + 1, 1)
+        if word in COMPAT_LENGTHS and opened < len(out) and out[opened] == "(":
+            close = closing(out, opened)
+            out[i : close + 1] = [f"coalesce({out[i]}({''.join(compat_forms(out[opened + 1 : close]))}), 0)"]
+        elif word == "position" and opened < len(out) and out[opened] == "(":
+            close = closing(out, opened)
+            depth, inner = 0, compat_forms(out[opened + 1 : close])
+            for k, x in enumerate(inner):
+                depth += (x == "(") - (x == ")")
+                if not depth and x.lower() == "in":
+                    out[i : close + 1] = [f"position(coalesce({''.join(inner[:k])}, '') in coalesce({''.join(inner[k + 1 :])}, ''))"]
+                    break
+        elif word == "/":
+            start, last = _product_start(out, i), solid(out, i + 1, 1)
+            end = last
+            while out[end] in {"-", "+"}:
+                end = solid(out, end + 1, 1)
+            following = solid(out, end + 1, 1)
+            while following < len(out) and out[following] in {".", "("}:
+                end = closing(out, following) if out[following] == "(" else solid(out, following + 1, 1)
+                following = solid(out, end + 1, 1)
+            if out[end] == "(":
+                end = closing(out, end)
+            x = f"cast({''.join(out[start:i]).strip()} as double)"
+            y = f"cast({''.join(compat_forms(out[last : end + 1])).strip()} as double)"
+            out[start : end + 1] = [f"(case when {y} = 0 then case when {x} > 0 then double('inf') when {x} < 0 then double('-inf') when {x} = 0 then double('nan') end else {x} / nullif({y}, 0) end)"]
+            i = start
+        i += 1
+    return out
+
+
+def _product_start(parts: list[str], at: int) -> int:
+    """Where the product whose operator stands at `at` begins."""
+    i = primary_start(parts, solid(parts, at - 1, -1))
+    while (before := solid(parts, i - 1, -1)) >= 0 and parts[before] in {"*", "%"}:
+        i = primary_start(parts, solid(parts, before - 1, -1))
+    return i
 
 
 def nulls_last(parts: list[str]) -> list[str]:
@@ -137,5 +263,60 @@ def _with_nulls(key: list[str]) -> list[str]:
     return [*nulls_last(key[:end]), " nulls last", *key[end:]]
 
 
-def rewrite(text: str) -> str:
-    return "".join(nulls_last(quantified(tokens(text.strip().rstrip(";")))))
+def rewrite(text: str, compat: bool = False) -> str:
+    parts = [x for x in tokens(text.strip().rstrip(";")) if not x.startswith("/*")]
+    # In a literal, a backslash stands for itself.
+    parts = quantified(small_forms([x.replace(chr(92), chr(92) * 2) if x.startswith("'") else x for x in parts]))
+    # What was made is one token by now.
+    parts = nulls_last(tokens("".join(parts)))
+    return "".join(compat_forms(parts) if compat else parts)
+
+
+def aliases(text: str) -> dict[str, str]:
+    """Names that the first select list gives to expressions."""
+    parts = tokens(text)
+    first = next((i for i, x in enumerate(parts) if x.lower() == "select"), len(parts))
+    out, depth, item = {}, 0, []
+    for x in [*parts[first + 1 :], "from"]:
+        if not depth and (x == "," or x.lower() == "from"):
+            said = "".join(item).strip()
+            if m := re.fullmatch(r"(?P<e>.*\S)\s+as\s+`?(?P<n>\w+)`?", said, re.I | re.S):
+                out[m["n"].lower()] = m["e"]
+            item = []
+            if x != ",":
+                break
+            continue
+        depth += (x == "(") - (x == ")")
+        item.append(x)
+    return out
+
+
+def with_alias(text: str, name: str, expression: str) -> str:
+    """`text` with the alias `name` replaced in the WHERE clause of the outermost query."""
+    parts, depth, inside = tokens(text), 0, False
+    for i, x in enumerate(parts):
+        depth += (x == "(") - (x == ")")
+        word = x.lower()
+        if not depth and word in {"where", "group", "having", "order", "limit", "union", "except", "intersect"}:
+            inside = word == "where"
+        elif inside and word.strip("`") == name.lower():
+            before, after = solid(parts, i - 1, -1), solid(parts, i + 1, 1)
+            if parts[before] != "." and (after >= len(parts) or parts[after] not in {"(", "."}):
+                parts[i] = f"({expression})"
+    return "".join(parts)
+
+
+def run(spark: SparkSession, text: str, args: dict | None = None, compat: bool = False) -> DataFrame:
+    """`text` in this package's dialect. Names of the select list may stand in WHERE, where no column has the name."""
+    names, tried = aliases(text), set()
+    while True:
+        try:
+            return spark.sql(rewrite(text, compat), args=args or None)
+        except AnalysisException as e:
+            if not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+                raise
+            name = (e.getMessageParameters() or {}).get("objectName", "").strip("`").lower()
+            if name not in names or name in tried:
+                raise
+            tried.add(name)
+            text = with_alias(text, name, names[name])

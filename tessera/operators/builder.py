@@ -100,6 +100,18 @@ class Query:
     def where_all(self, left: Column, op: str, other: Query) -> Query:
         return Query(subqueries.where_all(self._df, left, op, other.build()))
 
+    def scalar(self) -> Column:
+        """This query of one column and one row at most as a value of another: null without a row, an error for more."""
+        return self._df.scalar()
+
+    def insert_into(self, db, name: str) -> int:
+        """INSERT .. SELECT into a table of a Database or Transaction."""
+        return db.insert(name, self._df)
+
+    def overwrite_into(self, db, name: str) -> int:
+        """INSERT OVERWRITE .. SELECT: rows replace those of the same primary key."""
+        return db.upsert(name, self._df)
+
     def count(self) -> int:
         return self._df.count()
 
@@ -109,3 +121,26 @@ class Query:
 
 def table(df: DataFrame) -> Query:
     return Query(df)
+
+
+class Change:
+    """UPDATE and DELETE on a table of a Database, a condition or join at a time."""
+
+    def __init__(self, db, name: str, condition: Column | None = None, source: tuple = ()):
+        self._db, self._name, self._condition, self._source = db, name, condition, source
+
+    def filter(self, condition: Column) -> Change:
+        return Change(self._db, self._name, condition if self._condition is None else self._condition & condition, self._source)
+
+    def join(self, source: Query | DataFrame, on: Column, how: str = "inner") -> Change:
+        return Change(self._db, self._name, self._condition, (source.build() if isinstance(source, Query) else source, on, how))
+
+    def update(self, **values: Column | str) -> int:
+        return self._db.update(self._name, values, self._condition, *self._source)
+
+    def delete(self) -> int:
+        return self._db.delete(self._name, self._condition, *self._source)
+
+
+def change(db, name: str) -> Change:
+    return Change(db, name)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.dialect import rewrite
+from tessera import dialect
 from tessera.functions import scalars
 from tessera.operators.builder import table
 from tessera.tables import TABLES, load, register
@@ -31,12 +31,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("n_name").agg(F.count("*").alias("n_lines"), revenue.alias("revenue")).where("n_lines > 5").orderBy(F.col("revenue").desc_nulls_last(), "n_name").limit(5)
 
 
-def sql(name: str, text: str, oracle: str | None = None) -> None:
+def sql(name: str, text: str, oracle: str | None = None, compat: bool = False) -> None:
     """Register SQL `text`, in this package's dialect; the oracle reads it too unless it has its own."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", text)])
-        return spark.sql(rewrite(text))
+        return dialect.run(spark, text, compat=compat)
 
     run.__name__ = name
     QUERIES[name] = run
@@ -73,7 +73,6 @@ sql("filter_in_list", "select c_custkey from customer where c_mktsegment in ('BU
 sql("filter_between", "select p_partkey, p_size from part where p_size between 10 and 12 or p_retailprice not between 900 and 1900")
 sql("filter_like", "select p_partkey, p_name from part where p_name like '%1%' and p_type not like 'S_%' and p_name not like 'x!%%' escape '!'")
 sql("case_forms", "select p_partkey, case when p_size > 40 then 'large' when p_size > 20 then 'medium' else 'small' end as sized, case p_size when 1 then 'one' when 2 then 'two' end as named from part")
-sql("cast_forms", "select l_orderkey, l_linenumber, cast(l_quantity as int) as q, cast(l_linenumber as varchar(10)) as s, cast('2024-11-10' as date) as d, cast(l_orderkey as double) as f from lineitem where l_orderkey < 200", "select l_orderkey, l_linenumber, cast(trunc(l_quantity) as int) as q, cast(l_linenumber as varchar) as s, date '2024-11-10' as d, cast(l_orderkey as double) as f from lineitem where l_orderkey < 200")
 sql("cast_forms_whole", "select l_orderkey, l_linenumber, cast(l_quantity as int) as q, cast(l_linenumber as varchar(10)) as s, cast('2024-11-10' as date) as d, cast(l_orderkey as double) as f from lineitem", "select l_orderkey, l_linenumber, cast(trunc(l_quantity) as int) as q, cast(l_linenumber as varchar) as s, date '2024-11-10' as d, cast(l_orderkey as double) as f from lineitem")
 sql("row_values", "select n_nationkey from nation where (n_nationkey, n_regionkey) in ((0, 0), (1, 1), (5, 9))")
 sql("conditional_functions", "select p_partkey, coalesce(nullif(p_size, 10), -1) as c, ifnull(nullif(p_size, 11), 0) as i, if(p_size > 25, 'hi', 'lo') as b from part")
@@ -119,7 +118,6 @@ sql("top_k", "select o_orderkey, o_totalprice from orders order by o_totalprice
 # Set operations.
 for op in ("union", "except", "intersect"):
     for kind in ("", " all"):
-        sql(f"set_{op}{kind.replace(' ', '_')}", f"select nullif(c_nationkey, 3) as k from customer where c_custkey < 200 {op}{kind} select nullif(s_nationkey, 3) as k from supplier")
         sql(f"set_{op}{kind.replace(' ', '_')}_whole", f"select nullif(c_nationkey, 3) as k from customer {op}{kind} select nullif(s_nationkey, 3) as k from supplier")
 sql("set_ordered", "select n_nationkey as k from nation union all select r_regionkey as k from region order by k desc limit 9")
 
@@ -188,7 +186,7 @@ def dml_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.table("t")
 
 
-@code("select s_suppkey, s_name, s_acctbal from supplier where s_suppkey < 50")
+@code("select s_suppkey, s_name, s_acctbal from supplier")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.sources.csv import copy_from, copy_to
     from tessera.store import scratch_folder
@@ -196,5 +194,4 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_folder(spark)}/suppliers"
     rows = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     copy_to(rows, path, delimiter="|", header=True)
-    # The whole table is copied; what the oracle asks for is taken from the copy.
-    return copy_from(spark, path, rows.schema, delimiter="|", header=True).where("s_suppkey < 50")
+    return copy_from(spark, path, rows.schema, delimiter="|", header=True)

@@ -164,3 +164,70 @@ def test_types():
     assert common_type("utinyint", "tinyint") == "smallint" and common_type("ubigint", "int") == "double"
     with pytest.raises(ValueError):
         parse_type("interval")
+
+
+def test_views_and_tables_are_gone_when_dropped(db, spark):
+    from pyspark.errors import PySparkException
+
+    db.ddl("create table `Quoted` (\"id\" int primary key, v int)")
+    db.run("insert into quoted values (1, 5)")
+    db.ddl("create view seen as select id + v as s from quoted")
+    assert [r.s for r in db.run("select s from seen").collect()] == [6]
+    # The session itself knows none of these names.
+    assert not {"quoted", "seen"} & {t.name for t in spark.catalog.listTables()}
+    db.ddl("drop view seen")
+    db.ddl("drop table quoted")
+    for name in ("seen", "quoted"):
+        with pytest.raises(PySparkException):
+            db.run(f"select * from {name}").collect()
+
+
+def test_what_is_checked_is_what_is_added(db, spark):
+    db.ddl("create table drawn (id bigint primary key, r double not null)")
+    db.insert("drawn", spark.range(500).selectExpr("id", "rand() r"))
+    kept = {r.id: r.r for r in db.table("drawn").collect()}
+    assert kept == {r.id: r.r for r in db.table("drawn").collect()} and len(set(kept.values())) > 400
+
+
+def test_trailing_field_with_a_header_and_one_file(spark, tmp_path):
+    from tessera.sources.csv import copy_from, copy_to
+
+    (tmp_path / "t.tbl").write_text("a|b|\n4|x|\n6|null|\n")
+    got = copy_from(spark, f"{tmp_path}/t.tbl", "a int, b string", delimiter="|", header=True)
+    assert sorted(map(tuple, got.collect())) == [(4, "x"), (6, None)]
+    out = tmp_path / "one.csv"
+    assert copy_to(got.repartition(3), str(out), header=True) == 2
+    assert out.is_file() and sorted(out.read_text().split()) == ["4,x", "6,null", "a,b"]
+    assert copy_to(got.limit(0), str(out)) == 0 and out.is_file()
+
+
+def test_several_partners_and_outer_joins(db):
+    db.ddl("create table target (id int primary key, v int)")
+    db.ddl("create table source (k int primary key, id int, v int)")
+    db.run("insert into target values (1, 10), (2, 20), (3, 30)")
+    db.run("insert into source values (1, 1, 7), (2, 1, 5), (3, 9, 9)")
+    db.run("update target left join source on target.id = source.id set v = source.v where target.id < 3")
+    assert sorted(map(tuple, db.table("target").collect())) == [(1, 5), (2, None), (3, 30)]
+    db.run("delete from target full outer join source on target.id = source.id where source.id is null")
+    assert [r.id for r in db.table("target").collect()] == [1]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    from tessera.store import Conflict, TableStore
+
+    store = TableStore(spark, f"file://{tmp_path}/s")
+    store._put(1, {"tables": {}, "views": {}})
+    with pytest.raises(Conflict):
+        store._put(1, {"tables": {"x": {}}, "views": {}})
+    assert store.state(1)["tables"] == {} and store.latest() == 1
+
+
+def test_shell(db):
+    import io
+
+    from tessera.shell import repl
+
+    out = io.StringIO()
+    repl(db, io.StringIO("create table s (id int primary key, n varchar);\ninsert into s\nvalues (1, 'x'), (2, null);\nselect * from s order by id;\nselect nothing;\nshow tables;\nquit\nselect 1;\n"), out)
+    said = out.getvalue()
+    assert "1 | x" in said and "2 | null" in said and "error:" in said and "\ns\n" in said and not said.endswith("1\n1\n")
