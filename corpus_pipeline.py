@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents.
+
+In every stage, rows come out each where they are repeated, an empty table gives
+no rows, and texts of any length are taken whole. A null text, or one without a
+letter, goes with the first stage; a null lang, source, n_chars or doc_id is kept
+as it is: rows without an id are never taken for copies of others, and are packed
+first.
 """
 
 from __future__ import annotations
@@ -53,8 +59,7 @@ STAGES = [
 ]
 
 #: Neither naive Bayes over hashed n-grams nor byte-level BPE can be said in SQL:
-#: the operators of the stages are tested against brute force one by one; a test
-#: of run() as a whole is still to be written.
+#: tests/llm/test_pipeline.py holds run() against a chain of brute-force stages.
 ORACLE_SQL = None
 
 
