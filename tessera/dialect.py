@@ -184,7 +184,7 @@ COMPAT_LENGTHS = {"char_length", "character_length", "octet_length"}
 
 
 def compat_forms(parts: list[str]) -> list[str]:
-    """Lengths and positions of null are 0; x / 0 is infinite, 0 / 0 NaN."""
+    """Lengths and positions of null are 0; x / 0 is infinite, 0 / 0 NaN; SUBSTRING counts bytes and TRIM strips a whole string."""
     out, i = list(parts), 0
     while i < len(out):
         word, opened = out[i].lower(), solid(out, i + 1, 1)
@@ -199,6 +199,12 @@ def compat_forms(parts: list[str]) -> list[str]:
                 if not depth and x.lower() == "in":
                     out[i : close + 1] = [f"position(coalesce({''.join(inner[:k])}, '') in coalesce({''.join(inner[k + 1 :])}, ''))"]
                     break
+        elif word in {"substring", "substr", "trim"} and opened < len(out) and out[opened] == "(":
+            close = closing(out, opened)
+            given = _arguments(compat_forms(out[opened + 1 : close]))
+            made = _trimmed(given) if word == "trim" else _substring(given)
+            if made:
+                out[i : close + 1] = [made]
         elif word == "/":
             start, last = _product_start(out, i), solid(out, i + 1, 1)
             end = last
@@ -218,6 +224,51 @@ def compat_forms(parts: list[str]) -> list[str]:
     return out
 
 
+def _arguments(inner: list[str]) -> list[tuple[str, str]]:
+    """(the comma, FROM or FOR before it, text) of what stands between two parentheses."""
+    found, depth = [("", [])], 0
+    for x in inner:
+        depth += (x == "(") - (x == ")")
+        if not depth and x.lower() in {",", "from", "for"}:
+            found.append((x.lower(), []))
+        elif not x.startswith("--"):
+            found[-1][1].append(x)
+    return [(before, "".join(x).strip()) for before, x in found]
+
+
+def _substring(given: list[tuple[str, str]]) -> str | None:
+    """SUBSTRING by bytes, as `scalars.substring_compat` has it; a lambda reads each argument once."""
+    if len(given) > 3:
+        return None
+    start, length = "1", "2147483647"
+    for place, (before, text) in enumerate(given[1:]):
+        if before == "for" or (before == "," and place):
+            length = text
+        else:
+            start = text
+    fields = f"named_struct('s', cast(cast({given[0][1]} as string) as binary), 'f', cast({start} as bigint) - 1, 'n', cast({length} as bigint))"
+    size = "octet_length(x.s)"
+    at = f"case when x.f < 0 then pmod(x.f, {size} + 1) else x.f end"
+    taken = f"case when x.n is null then null when x.n between 0 and {size} then cast(x.n as int) else {size} end"
+    cut = f"make_valid_utf8(cast(substring(x.s, cast({at} as int) + 1, {taken}) as string))"
+    return f"get(transform(array({fields}), x -> case when {at} <= {size} then {cut} end), 0)"
+
+
+def _trimmed(given: list[tuple[str, str]]) -> str | None:
+    """TRIM of repeats of a whole string, as `scalars.trim_compat` has it."""
+    if len(given) > 2 or (len(given) == 2 and given[1][0] != "from"):
+        return None
+    said, value = ("", given[0][1]) if len(given) == 1 else (given[0][1], given[1][1])
+    where, what = re.fullmatch(r"(both\b|leading\b|trailing\b|)\s*(.*)", said, re.I | re.S).groups()
+    # A null `what` strips nothing.
+    unit = r"replace(coalesce(" + (what or "' '") + r", ''), '\\E', '\\E\\\\E\\Q')"
+    if where.lower() != "trailing":
+        value = rf"regexp_replace({value}, concat('^(?:\\Q', {unit}, '\\E)++'), '')"
+    if where.lower() != "leading":
+        value = rf"regexp_replace({value}, concat('(?:\\Q', {unit}, '\\E)+\\z'), '')"
+    return value
+
+
 def _product_start(parts: list[str], at: int) -> int:
     """Where the product whose operator stands at `at` begins."""
     i = primary_start(parts, solid(parts, at - 1, -1))

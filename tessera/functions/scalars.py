@@ -30,23 +30,25 @@ def position_compat(needle: Column, s: Column) -> Column:
 
 
 def substring_compat(s: Column, start: Column, length: Column | None = None) -> Column:
-    """1-based; a negative start wraps modulo the length plus one; null past the end."""
-    n = F.char_length(s)
-    at = F.when(start < 0, F.pmod(start, n + 1)).otherwise(start)
-    rest = F.substring(s, at, length if length is not None else n + 1)
-    return F.when(at <= n, rest)
+    """1-based, in bytes; a start below 1 wraps modulo the length plus one; null past
+    the end. A negative length takes the rest. What is left of a character that
+    is cut becomes U+FFFD."""
+    data = s.cast("binary")
+    n, first = F.octet_length(s), start.cast("long") - 1
+    at = F.when(first < 0, F.pmod(first, n + 1)).otherwise(first)
+    size = n if length is None else F.when(length.isNull(), None).when(length.between(0, n), length.cast("int")).otherwise(n)
+    return F.when(at <= n, F.make_valid_utf8(F.substring(data, at.cast("int") + 1, size).cast("string")))
 
 
 def trim_compat(s: Column, what: str = " ", where: str = "both") -> Column:
     """Strip repeats of the whole string `what`, not of its characters."""
     import re
 
-    unit = f"(?:{re.escape(what)})+"
-    out = s
+    unit, out = f"(?:{re.escape(what)})", s
     if where in ("both", "leading"):
-        out = F.regexp_replace(out, f"^{unit}", "")
+        out = F.regexp_replace(out, f"^{unit}++", "")
     if where in ("both", "trailing"):
-        out = F.regexp_replace(out, f"{unit}$", "")
+        out = F.regexp_replace(out, rf"{unit}+\z", "")
     return out
 
 

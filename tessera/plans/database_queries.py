@@ -40,6 +40,8 @@ sql("alias_in_where", "select p_partkey, p_size * 2 as doubled from part where d
 sql("table_function_sql", "select number, r_name from table(numbers(4)) join region on number = r_regionkey", "select cast(range as integer) as number, r_name from range(4) join region on range = r_regionkey")
 sql("divide_by_zero", "select p_partkey, p_size / (p_size - 10) as ratio, (p_size - 10) / 2 * 3 as scaled from part", "select p_partkey, case when p_size = 10 then cast('inf' as double) else p_size::double / (p_size - 10) end as ratio, (p_size - 10)::double / 2 * 3 as scaled from part", compat=True)
 sql("lengths_of_null", "select p_partkey, char_length(nullif(p_brand, 'Brand#11')) as n, octet_length(nullif(p_brand, 'Brand#12')) as o, position('#' in nullif(p_brand, 'Brand#13')) as at from part", "select p_partkey, cast(coalesce(length(nullif(p_brand, 'Brand#11')), 0) as int) as n, cast(coalesce(octet_length(encode(nullif(p_brand, 'Brand#12'))), 0) as int) as o, cast(coalesce(position('#' in nullif(p_brand, 'Brand#13')), 0) as int) as at from part", compat=True)
+sql("substring_bytes", "select p_partkey, substring(p_brand from -3) as wrapped, substring(p_brand, 2, 3) as middle, substring(nullif(p_brand, 'Brand#11') for 5) as head, substring(concat('é', p_brand) from 3) as behind_two_bytes, substring(p_brand from p_size) as perhaps_beyond from part", "select p_partkey, substr(p_brand, length(p_brand) - 2) as wrapped, substr(p_brand, 2, 3) as middle, substr(nullif(p_brand, 'Brand#11'), 1, 5) as head, p_brand as behind_two_bytes, case when p_size <= length(p_brand) + 1 then substr(p_brand, p_size) end as perhaps_beyond from part", compat=True)
+sql("trim_whole_string", "select p_partkey, trim(both 'ab' from concat('ababb', p_brand, 'bab')) as both_ends, trim(leading 'Bra' from p_brand) as head, trim(trailing '1' from p_brand) as tail, trim(concat(' ', p_brand, '  ')) as plain from part", "select p_partkey, 'b' || p_brand || 'b' as both_ends, substr(p_brand, 4) as head, regexp_replace(p_brand, '1+$', '') as tail, p_brand as plain from part", compat=True)
 sql("like_rows", "select c_custkey, c_name like '%7' as ends, c_name like 'Customer#_0%' as shaped, c_name not like '%!_%' escape '!' as plain, c_name like '%\\\\%' as slashed from customer", "select c_custkey, c_name like '%7' as ends, c_name like 'Customer#_0%' as shaped, c_name not like '%!_%' escape '!' as plain, contains(c_name, '\\\\') as slashed from customer")
 sql("scalar_in_where_rows", "select o_orderkey from orders where o_totalprice > (select avg(o_totalprice) * 1.2 from orders)")
 sql("set_except_rows", "select n_nationkey as k from nation except select r_regionkey from region")

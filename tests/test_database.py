@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import dialect
 from tessera.api import ConstraintError, Database
 from tessera.dialect import rewrite
 from tessera.functions import scalars, table_functions
@@ -139,6 +140,29 @@ def test_quantifiers(spark, op, inner):
         assert got(spark.sql(rewrite(f"select a from qt where not (a {op} {word} (select b from qu))"))) == want(d, False)
 
 
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("substring('marigold' from 5)", "gold"), ("substring('marigold' from -4 for 9)", "gold"), ("substring('marigold', -13, 2)", "go"), ("substring('marigold' for 4)", "mari"),
+        ("substring('marigold' from 9)", ""), ("substring('marigold' from 10)", None), ("substring('marigold' from 0)", ""), ("substring('marigold' from 5 for -1)", "gold"),
+        ("substring('marigold' from null)", None), ("substring('marigold' for null)", None), ("substring(null for 2)", None), ("substring('éa' from 3)", "a"), ("substring('éa' from 2)", "\ufffda"),
+        ("substring(substring('marigold' from 5) from 2 for 2)", "ol"), ("char_length(substring(null from 2))", 0),
+        ("trim('  a b ')", "a b"), ("trim(both 'xy' from 'xyxyzyxxy')", "zyx"), ("trim(leading 'xy' from 'xyzxy')", "zxy"), ("trim(trailing 'zz' from 'azzz')", "az"), ("trim(trailing from 'a  ')", "a"), ("trim(Leading\n'xy' -- from here\nfrom 'xyz')", "z"),
+        ("trim('.\\E' from '.\\E.\\Ea.\\E')", "a"), ("trim('x' from 'axx\n')", "axx\n"), ("trim('' from 'abc')", "abc"), ("trim(cast(null as string) from 'abc')", "abc"), ("trim('x' from null)", None), ("trim(concat('x', 'y') from 'xyz')", "z"),
+    ],
+)
+def test_substring_and_trim_in_sql(spark, text, expected):
+    assert dialect.run(spark, f"select {text} as v", compat=True).first().v == expected
+
+
+def test_substring_in_group_and_join(spark):
+    rows = "values ('abc'), ('abd'), ('xy') as t(v)"
+    grouped = dialect.run(spark, f"select substring(v, 1, 2) as k, count(*) as n from {rows} group by substring(v, 1, 2) order by k", compat=True)
+    assert [tuple(r) for r in grouped.collect()] == [("ab", 2), ("xy", 1)]
+    joined = dialect.run(spark, f"select v from {rows} join values ('ab') as u(w) on substring(v from 1 for 2) = w where trim(v) <> 'abd'", compat=True)
+    assert [r.v for r in joined.collect()] == ["abc"]
+
+
 def test_compat_functions(spark):
     one = spark.createDataFrame([("abcabcx", None)], "s string, n string")
     got = one.select(
