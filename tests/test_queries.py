@@ -57,3 +57,14 @@ def test_casts_and_set_operations_have_whole_forms(spark, small):
     assert queries["set_union_all_whole"](spark, small).count() == table("customer").count() + table("supplier").count()
     for op in ("union", "except", "except_all", "intersect", "intersect_all"):
         assert f"set_{op}_whole" in queries
+
+
+def test_time_values_in_a_session_without_the_type(spark, duck, small):
+    spark.conf.set("spark.sql.timeType.enabled", "false")
+    try:
+        got = entry.queries()["time_values"](spark, small)
+        assert got.dtypes == [("event_id", "bigint"), ("late", "boolean"), ("clock", "string")]
+        assert sorted(map(tuple, got.collect())) == sorted(duck.sql(entry.oracle_sql()["time_values"]).fetchall())
+        assert got.join(got.select("event_id"), "event_id").count() == got.count()
+    finally:
+        spark.conf.set("spark.sql.timeType.enabled", "true")
