@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +48,14 @@ def word_counts(training: DataFrame) -> DataFrame:
     """(word, n) over all words of the rows' `text` bytes, A-Z in lower case."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, int] = {}
+        found: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-        get = found.get
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for word in text.lower().split():  # on bytes, both know ASCII alone
-                    found[word] = get(word, 0) + 1
+                found.update(text.lower().split())  # on bytes, both know ASCII alone
                 if len(found) > 300_000:
                     yield out()
                     found.clear()
@@ -87,7 +87,7 @@ def encode(rows: DataFrame, head) -> DataFrame:
                 symbols, words, counts = [], [], []
                 for text in part.column(2).to_pylist():
                     own = text.lower().split()
-                    found = np.fromiter((of(w, 0) for w in own), "i4", len(own))
+                    found = np.fromiter(map(of, own, repeat(0)), "i4", len(own))
                     places: dict[bytes, int] = {}
                     other = np.flatnonzero(found == 0)
                     local = np.fromiter((places.setdefault(own[i], len(places)) for i in other.tolist()), "i4", len(other))
@@ -154,14 +154,47 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps), counts
 
 
+def followed(training: DataFrame) -> DataFrame:
+    """(bigrams): the different bigrams among some million tokens each of all `training`
+    symbols, first * 2^32 + second, with their counts. Sweeps read these, which don't
+    change, and not the tokens. A document's first token follows an end."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            x = np.concatenate(held).astype("i8")
+            at = np.r_[0, x[:-1]]  # every document ends in symbol 0
+            at <<= 32
+            at |= x
+            return pa.RecordBatch.from_arrays([pa.array([packed(*np.unique(at, return_counts=True))], pa.binary())], names=["bigrams"])
+
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                held.append(np.frombuffer(blob, "i4"))
+                n += len(held[-1])
+                if n > 1_000_000:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
+
+    return training.select("symbols").mapInArrow(count, "bigrams binary")
+
+
+def of_bigrams(training: DataFrame) -> DataFrame:
+    """`training`, if it is what `followed` gives, or else that of it."""
+    return training if training.columns == ["bigrams"] else followed(training)
+
+
 def contexts(training: DataFrame, classes: np.ndarray, n_classes: int, dense: int) -> DataFrame:
-    """The stored (block, counts), summed over all `training` symbols: for each
+    """The stored (block, counts), summed over all `training` symbols or bigrams: for each
     block of BLOCK symbols the classes that follow, the classes before, and the
-    symbol's own repeats; block -1 holds the class bigrams. A document's first
-    token follows an end.
+    symbol's own repeats; block -1 holds the class bigrams.
 
     A task adds up the `dense` first symbols, a multiple of BLOCK, in a table, and
-    sends what it finds of others some million tokens at a time, all without
+    sends what it finds of others a row of bigrams at a time, all without
     zeros. A block's partial counts are added up one after the other, in two
     levels where there are more than PARTS tasks, so no task meets them all."""
     spark = training.sparkSession
@@ -177,39 +210,35 @@ def contexts(training: DataFrame, classes: np.ndarray, n_classes: int, dense: in
         cls, task = sent.value, TaskContext.get().partitionId()
         flat = np.zeros(dense * width, "u4")
         pairs = np.zeros(n_classes * n_classes, "i8")
-        held, n = [], 0
 
-        def add() -> pa.RecordBatch | None:
-            x = np.concatenate(held).astype("i8")
-            prev = np.r_[0, x[:-1]]  # every document ends in symbol 0
+        def add(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
+            prev, x = at >> 32, at & 0xFFFFFFFF
             a, b = cls[prev].astype("i8"), cls[x].astype("i8")
-            pairs[:] += np.bincount(a * n_classes + b, minlength=len(pairs))
-            rest = []
-            for key in (prev * width + b, x * width + n_classes + a, x[x == prev] * width + 2 * n_classes):
+            np.add.at(pairs, a * n_classes + b, n)
+            same = x == prev
+            keys, counts = [], []
+            for key, m in ((prev * width + b, n), (x * width + n_classes + a, n), (x[same] * width + 2 * n_classes, n[same])):
                 low = key < len(flat)
-                np.add.at(flat, key[low], np.uint32(1))
-                rest.append(key[~low])
-            key, counts = np.unique(np.concatenate(rest), return_counts=True)
+                np.add.at(flat, key[low], m[low].astype("u4"))
+                keys.append(key[~low])
+                counts.append(m[~low])
+            key, counts = np.concatenate(keys), np.concatenate(counts)
             if not len(key):
                 return None
+            order = np.argsort(key, kind="stable")
+            key, counts = key[order], counts[order]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            key, counts = key[start], np.add.reduceat(counts, start)
             block, at = np.divmod(key, BLOCK * width)
             start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             parts = [packed(at[i:j], counts[i:j]) for i, j in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True)]
             return rows(task, block[start].tolist(), parts)
 
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                held.append(np.frombuffer(blob, "i4"))
-                n += len(held[-1])
-                if n > 1_000_000:
-                    out = add()
-                    held, n = [], 0
-                    if out is not None:
-                        yield out
-        if held:
-            out = add()
-            if out is not None:
-                yield out
+            for blob in batch.column(0):
+                out = add(*unpacked(blob.as_py()))
+                if out is not None:
+                    yield out
         if pairs.any():
             yield rows(task, [-1], [packed(np.arange(len(pairs)), pairs)])
         for k in range(dense // BLOCK):
@@ -233,7 +262,8 @@ def contexts(training: DataFrame, classes: np.ndarray, n_classes: int, dense: in
             at = np.flatnonzero(total)
             yield rows(task, [block], [packed(at, total[at])])
 
-    parts = training.select("symbols").mapInArrow(count, kinds)
+    training = of_bigrams(training)
+    parts = training.mapInArrow(count, kinds)
     groups = -(-training.rdd.getNumPartitions() // PARTS)
     if groups > 1:
         parts = parts.repartition("block", F.col("task") % groups).sortWithinPartitions("block").mapInArrow(merge, kinds)
@@ -243,20 +273,20 @@ def contexts(training: DataFrame, classes: np.ndarray, n_classes: int, dense: in
 
 
 def class_bigrams(training: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
-    """The class bigrams of all `training` symbols: a row of n_classes^2 counts from each task, summed by class in SQL."""
+    """The class bigrams of all `training` symbols or bigrams: a row of n_classes^2 counts from each task, summed by class in SQL."""
     sent = training.sparkSession.sparkContext.broadcast(small(classes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, pairs = sent.value, np.zeros(n_classes * n_classes, "i8")
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                c = cls[np.frombuffer(blob, "i4")].astype("i8")
-                pairs += np.bincount(np.r_[cls[0], c[:-1]] * n_classes + c, minlength=len(pairs))
+            for blob in batch.column(0):
+                at, n = unpacked(blob.as_py())
+                np.add.at(pairs, cls[at >> 32].astype("i8") * n_classes + cls[at & 0xFFFFFFFF], n)
         at = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pairs[at])], names=["at", "n"])
 
     out = np.zeros(n_classes * n_classes, "i8")
-    for r in training.select("symbols").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in of_bigrams(training).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         out[r["at"]] = r.n
     sent.destroy()
     return out.reshape(n_classes, n_classes)
@@ -289,8 +319,19 @@ def gains(pairs: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndar
     rest[k, own] -= after
     rest[k, :, own] -= before
     rest[k, own, own] -= repeats
-    f = xlogx(rest)
-    out = (xlogx(rest + after[:, None]) - f).sum(2) + (xlogx(rest + before[:, :, None]) - f).sum(1)
+    f = np.repeat(xlogx(pairs.astype(float))[None], m, 0)
+    f[k, own] = xlogx(rest[k, own])
+    f[k, :, own] = xlogx(rest[k, :, own])
+    out = np.zeros((m, n))
+    for met, axis in ((after, 2), (before, 1)):
+        if 2 * np.count_nonzero(met) > met.size:
+            rise = xlogx(rest + np.expand_dims(met, 3 - axis)) - f
+        else:  # few classes are met; the others add nothing
+            rise = np.zeros_like(rest)
+            i, j = met.nonzero()
+            at = (i, slice(None), j) if axis == 2 else (i, j)
+            rise[at] = xlogx(rest[at] + met[i, j][:, None]) - f[at]
+        out += rise.sum(axis)
     diagonal = rest.diagonal(0, 1, 2)
     r = repeats[:, None]
     # The symbol's class meets itself: that cell was counted in its row and its column.
@@ -320,8 +361,8 @@ def exchange(stored: DataFrame, classes: np.ndarray, n_classes: int, sweep: int)
                 symbols, best, tokens = [], [], []
                 there = np.flatnonzero(rows.any(1))
                 there = there[(block * BLOCK + there).astype("u8") * 2654435761 % 4294967296 >> 31 == sweep % 2]
-                for i in range(0, len(there), 256):
-                    part = there[i : i + 256]
+                for i in range(0, len(there), 32):
+                    part = there[i : i + 32]
                     own = cls[block * BLOCK + part].astype("i8")
                     value = gains(pairs, own, rows[part, :n_classes], rows[part, n_classes:-1], rows[part, -1])
                     b, k = value.argmax(1), np.arange(len(part))
@@ -376,7 +417,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, n_classes: int = C
     distribution over known words and one unknown word a group.
 
     Counts cover all training documents. Every sweep counts the contexts of all
-    tokens by block of symbols and computes each move's exact gain. Words
+    bigrams by block of symbols and computes each move's exact gain. Words
     outside the head meet their symbols and counts in an equi-join; what the
     driver and every worker hold of such a word is a byte, its class.
 
@@ -424,7 +465,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, n_classes: int = C
     )
     encoded = store(resolve(coded, found), "symbols")
     remove(spark, coded.path)
-    training = encoded.where(trains)
+    training = store(followed(encoded.where(trains)), "bigrams")
     order = np.argsort(-count, kind="stable")
     classes = np.zeros(beyond + n_tail, "i4")
     classes[order] = np.arange(len(count)) % n_classes
@@ -438,6 +479,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, n_classes: int = C
             break
         before = moved
     pairs = class_bigrams(training, classes, n_classes)
+    remove(spark, training.path)
     # Every token, the end too, is the second of one bigram.
     of_class = pairs.sum(0)
     members = np.bincount(classes[:first], minlength=n_classes) + np.bincount(classes[beyond:], minlength=n_classes)

@@ -100,3 +100,39 @@ def test_ties_repeats_and_rows_without_id(spark):
     assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == [(1, 5), (1, 5), (2, 1), (3, 1), (4, 20_001), (None, 3)]
     assert len({r.score for r in got if r.doc_id == 1}) == 1
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_sweeps_read_bigrams(spark):
+    rng = np.random.default_rng(4)
+    texts = [np.append(rng.integers(1, 30, 400), 0).astype("i4") for _ in range(12)]
+    table = spark.createDataFrame([(bytearray(x.tobytes()),) for x in texts], "symbols binary").repartition(3)
+    bigrams = brown.followed(table)
+    found = [brown.unpacked(bytes(r.bigrams)) for r in bigrams.collect()]
+    assert sum(int(n.sum()) for _, n in found) == 12 * 401 > 2 * sum(len(at) for at, _ in found)
+    classes = rng.integers(0, 3, 40)
+    totals = [{r.block: tuple(x.tolist() for x in brown.unpacked(bytes(r.counts))) for r in brown.contexts(t, classes, 3, 2048).collect()} for t in (table, bigrams)]
+    assert totals[0] == totals[1] and set(totals[0]) == {-1, 0}
+    assert (brown.class_bigrams(bigrams, classes, 3) == brown.class_bigrams(table, classes, 3)).all()
+
+
+def test_gains_are_those_of_the_likelihood():
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.integers(0, 8, 3000), 20, 20, 1, 21, 2, 22, 0]
+    classes, k = rng.integers(0, 6, 23), 6
+    prev = np.r_[0, x[:-1]]
+
+    def counts(classes):
+        return np.bincount(classes[prev] * k + classes[x], minlength=k * k).reshape(k, k)
+
+    def likelihood(classes):
+        n = counts(classes)
+        return brown.xlogx(n).sum() - brown.xlogx(n.sum(1)).sum() - brown.xlogx(n.sum(0)).sum()
+
+    for some in (np.arange(8), np.array([20, 21, 22])):  # most classes met, and few
+        after, before = (np.array([np.bincount(classes[b[a == s]], minlength=k) for s in some]) for a, b in ((prev, x), (x, prev)))
+        value = brown.gains(counts(classes), classes[some], after, before, np.array([((x == s) & (prev == s)).sum() for s in some]))
+        for i, s in enumerate(some.tolist()):
+            for c in range(k):
+                moved = classes.copy()
+                moved[s] = c
+                assert value[i, c] - value[i, classes[s]] == pytest.approx(likelihood(moved) - likelihood(classes), abs=1e-6)
