@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,24 @@ def store(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+#: Rows at once from Parquet, and to a Python worker. By Spark's own 4,096 and 10,000, texts make the executor's heap and buffers grow by hundreds of MB.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000}
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run within reads its rows in short batches; the session's settings are as before afterwards."""
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    try:
+        for k, rows in BATCHES.items():
+            if not 0 < int(before[k]) < rows:
+                spark.conf.set(k, rows)
+        yield
+    finally:
+        for k, rows in before.items():
+            spark.conf.set(k, rows)
+
+
 def fresh(df: DataFrame) -> str:
     """A column name that `df` has not."""
     taken, name = {c.lower() for c in df.columns}, "own"

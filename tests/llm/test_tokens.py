@@ -62,6 +62,42 @@ def test_packing(spark, docs, length):
         at += r.length
 
 
+def shuffled_bytes(spark):
+    jvm = spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_packing_shuffles_no_texts(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.bytes(10_000).hex()) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    settings = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    seen, before = set(shuffled_bytes(spark)), [spark.conf.get(k) for k in settings]
+    assert packing.pack(spark.read.parquet(str(tmp_path / "docs")), BYTES, with_ids=False).agg(F.sum("length")).first()[0] > 200 * 5_000
+    # The texts have 4 MB.
+    assert sum(n for k, n in shuffled_bytes(spark).items() if k not in seen) < 200_000
+    assert [spark.conf.get(k) for k in settings] == before
+
+
+def test_packing_over_many_files_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE", 300)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(str(x) for x in rng.integers(0, 9999, n)) for n in rng.integers(0, 40, 3000)]
+    rows = [(None if i % 500 == 7 else int(i), texts[i]) for i in rng.permutation(3000)] + [(5, texts[5])] * 700
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(packing.pack(docs, BYTES, 64, 1).collect(), key=lambda r: (r.sequence_id, r.offset))
+    starts = [r for r in got if r.is_first]
+    assert [r.doc_id for r in starts] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    stream = b"".join(bytes(r.ids) for r in got)
+    assert [r.sequence_id * 64 + r.offset for r in got] == [0, *np.cumsum([r.length for r in got])[:-1]]
+    ends = np.cumsum([r.doc_tokens for r in starts])
+    found = [(r.doc_id, stream[4 * (e - r.doc_tokens) : 4 * e]) for r, e in zip(starts, ends, strict=True)]
+    want = [(i, np.array([*ids, 1], "<u4").tobytes()) for (i, _), ids in zip(rows, library_ids([t for _, t in rows]), strict=True)]
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(found, key=key) == sorted(want, key=key)
+
+
 def test_sequences_are_padded_at_the_end_only(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     pieces = packing.pack(docs, BYTES, 3, 1)
