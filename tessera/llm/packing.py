@@ -22,7 +22,7 @@ SCHEMA = pa.schema(
 )
 #: Where a document's ids are: the file, named by its task attempt, the record batch in it and the row in that.
 PLACE = ("file", "batch", "row")
-#: Documents in a range partition, in the mean and at most: their places and lengths, some 10 MB, are sorted by the worker.
+#: Documents in a range partition, in the mean at most; their places and lengths, some 10 MB, are sorted by the worker.
 RANGE = 200_000
 #: Rows and bytes of ids in a batch of pieces.
 OUT_ROWS, OUT_BYTES = 2_000, 1 << 20
